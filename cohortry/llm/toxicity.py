@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import math
 import re
+import zlib
 from collections import Counter
 from collections.abc import Callable
 from dataclasses import dataclass, field
@@ -125,20 +126,27 @@ def telling_features(rows: list[tuple[str, int]], ratio: float = 8.0, level: flo
     """Features whose document frequency in toxic documents is at least `ratio` times that in clean ones, beyond chance."""
     count = (Counter(), Counter())
     n = [0, 0]
+    seen: set[tuple[int, int, int]] = set()
     for text, y in rows:
-        count[y].update({f for w in set(_WORD.findall(text.lower())) for f in word_features(w)})
-        n[y] += 1
+        words = _WORD.findall(text.lower())
+        # Copies are no further evidence: a document that shares a minimum of its hashed shingles with an earlier one is left out.
+        grams = [zlib.crc32(" ".join(words[i : i + 4]).encode()) for i in range(max(1, len(words) - 3))]
+        marks = {(y, k, min((g * m) & 0xFFFFFFFF for g in grams)) for k, m in enumerate((2654435761, 2246822519, 3266489917))}
+        if seen.isdisjoint(marks):
+            count[y].update({f for w in set(words) for f in word_features(w)})
+            n[y] += 1
+        seen |= marks
     share = n[1] / (n[0] + n[1])
     limit = 2 * math.log(len(count[0].keys() | count[1].keys()) / level + 1)
-    out = []
+    found = []
     for f, k in count[1].items():
         c = count[0][f]
         if k / n[1] >= ratio * (c + 0.5) / n[0]:
             p = k / (k + c)
             g = 2 * (k * math.log(p / share) + (c * math.log((1 - p) / (1 - share)) if c else 0.0))
             if g >= limit:
-                out.append(f)
-    return sorted(out)
+                found.append(f)
+    return sorted(found)
 
 
 def _segments(rows: list[tuple[str, int]], index: dict[str, int]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -189,7 +197,7 @@ def _expected(u: np.ndarray, trans: np.ndarray, mask: np.ndarray) -> tuple[np.nd
     return (p[..., 1] / p.sum(-1)).T, total
 
 
-def train(rows: list[tuple[str, int]], *, steps: int = 60, l2: float = 0.5, rate: float = 0.5) -> Model:
+def train(rows: list[tuple[str, int]], *, steps: int = 40, l2: float = 0.5, rate: float = 0.5) -> Model:
     """Fit on (text, 0 or 1) rows. Without both labels the model knows no toxic word and gives every text the same score."""
     rows = sorted((t or "", int(y)) for t, y in rows)
     if len({y for _, y in rows}) < 2:
@@ -232,7 +240,7 @@ def train(rows: list[tuple[str, int]], *, steps: int = 60, l2: float = 0.5, rate
     return model
 
 
-def fit(df: DataFrame, labels: DataFrame, *, allowed: Callable[[Column], Column], text_col: str = "text", id_col: str = "doc_id", label_col: str = "toxic", sample_rows: int = 2500) -> Model:
+def fit(df: DataFrame, labels: DataFrame, *, allowed: Callable[[Column], Column], text_col: str = "text", id_col: str = "doc_id", label_col: str = "toxic", sample_rows: int = 2000) -> Model:
     """Fit on at most about `sample_rows` labelled documents of each label, chosen by a hash of the id.
 
     The sampled ids (a bounded number, hence the broadcast) select whole texts. Ids whose labels contradict count as toxic."""
