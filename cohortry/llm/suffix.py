@@ -277,7 +277,7 @@ def stretches(chunks: DataFrame, shared: DataFrame, id_col: str, text_col: str,
             for k in sorted(range(len(ids)), key=lambda k: (ids[k], k)):
                 start, n, h, _ = anchors(texts[k], length)
                 data = texts[k].tobytes()
-                for i in np.flatnonzero(np.isin(h, hot)):
+                for i in np.flatnonzero(hot[np.minimum(np.searchsorted(hot, h), len(hot) - 1)] == h):
                     s, m = int(start[i]), int(n[i])
                     piece = data[s : s + m + length - 1]
                     if piece in seen:
