@@ -121,7 +121,7 @@ def to_string(q: Column) -> Column:
 
 def stratum(q: Column) -> Column:
     """How a stratum shows a quantity."""
-    return F.concat_ws(" ", q["value"].cast("string"), F.nullif(q["unit"], F.lit("1")))
+    return F.when(q["value"].isNotNull(), F.concat_ws(" ", q["value"].cast("string"), F.nullif(q["unit"], F.lit("1"))))
 
 
 def parse(text) -> Column:
