@@ -6,8 +6,9 @@ coordinate is filled, and the share of equal coordinates concentrates around the
 
 Documents with equal sets are one class, and only classes are compared. In a bucket, each class is verified against
 the bucket's hub (the class with the most bucket mates), which settles most groups with as many checks as members.
-In buckets that still hold several components, classes outside the largest one meet all others there: first their
-closest few by the sketch, then every pair whose sketches agree within six standard deviations of the threshold."""
+Buckets that still hold several components form clusters, one for each component that is the largest of a bucket:
+it and the strays beside it. There every stray meets all others, closest sketches first and down to six standard
+deviations below the threshold, until a full comparison links it; no pair is written but links."""
 
 from __future__ import annotations
 
@@ -27,8 +28,8 @@ from cohortry.llm.components import connected_components
 #: Bands x coordinates: at similarity 0.8 a pair shares no bucket with probability (1 - 0.8 ** 6) ** 40 < 6e-6.
 BANDS, ROWS = 40, 6
 BINS = BANDS * ROWS
-#: Members of a bucket that one task compares at once.
-BLOCK = 4096
+#: Bytes of full sets that one task holds on either side of a comparison.
+BLOCK = 16 << 20
 _LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
 _K1, _K2, _K3 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 
@@ -147,67 +148,70 @@ def verify(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return materialize(map_rows(both.select("a", "b", "x", "y"), run, "a long, b long"), "links")
 
 
-def rivals(rows: DataFrame, percent: int, best: int | None) -> DataFrame:
-    """Pairs (a, b) of different components in one bucket part, where a stray is one of the two.
+def clusters(members: DataFrame, comps: DataFrame) -> DataFrame:
+    """(main, id, comp, n, stray): classes of buckets that hold several components, gathered by the bucket's largest one."""
+    m = materialize(members.join(comps.withColumnRenamed("component", "comp"), "id", "left").withColumn("comp", F.coalesce("comp", "id")), "members")
+    sizes = m.groupBy("bkey", "comp").agg(F.count(F.lit(1)).alias("k"))
+    main = sizes.groupBy("bkey").agg(F.max_by("comp", F.struct("k", "comp")).alias("main"), F.count(F.lit(1)).alias("comps")).where("comps > 1")
+    main = materialize(main.select("bkey", "main"), "open")
+    return m.join(main, "bkey").select("main", "id", "comp", "n", (F.col("comp") != F.col("main")).alias("stray")).distinct()
+
 
-    rows: bkey, part, id, comp, n, sig, stray, home (false for a stray's copies in other parts than its own).
-    best: only that many closest partners of each stray in each bucket part; None: all that can be similar."""
+def stray_links(rows: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Links (a, b) that join strays to other components of their cluster, at least one for each component they link with.
+
+    A cluster is cut into blocks of members and blocks of strays, so that a task holds one of each."""
     share = percent / 100
     floor = share - 6 * math.sqrt(share * (1 - share) / BINS)
-
-    def compare(ids, comp, n, sig, stray, home) -> tuple[list[np.ndarray], list[np.ndarray]]:
-        left, right = [], []
-        for i in np.flatnonzero(stray):
-            ok = (comp != comp[i]) & (home | ~stray) & (np.minimum(n, n[i]) * 100 >= percent * np.maximum(n, n[i]))
-            at = np.flatnonzero(ok)
-            if not len(at):
-                continue
-            agree = (sig[at] == sig[i]).mean(1)
-            at, agree = at[agree >= floor], agree[agree >= floor]
-            if best is not None and len(at) > best:
-                at = at[np.argsort(-agree, kind="stable")[:best]]
-            left.append(np.minimum(ids[i], ids[at]))
-            right.append(np.maximum(ids[i], ids[at]))
-        return left, right
+    rows = materialize(rows, "clusters")
+    blocks = lambda c: F.greatest(F.ceil(F.sum(c) * 8 / BLOCK), F.lit(1)).cast("int")
+    sizes = rows.groupBy("main").agg(blocks("n").alias("ps"), blocks(F.when(F.col("stray"), F.col("n")).otherwise(0)).alias("qs"))
+    rows = rows.join(materialize(sizes, "sizes"), "main")
+    p, q = F.pmod(F.hash("id"), "ps"), F.pmod(F.hash("id", F.lit(1)), "qs")
+    cols = ["main", "id", "comp", "n"]
+    held = rows.select(*cols, F.lit(False).alias("asks"), p.alias("p"), F.explode(F.sequence(F.lit(0), F.col("qs") - 1)).alias("q"))
+    asks = rows.where("stray").select(*cols, F.lit(True).alias("asks"), F.explode(F.sequence(F.lit(0), F.col("ps") - 1)).alias("p"), q.alias("q"))
+    dealt = materialize(held.unionByName(asks), "dealt").join(sets, "id")
+
+    def compare(t: pa.Table) -> list[tuple[int, int]]:
+        ids, comp, n, asks = (t.column(c).to_numpy() for c in ("id", "comp", "n", "asks"))
+        sig = np.frombuffer(b"".join(t.column("sig").to_pylist()), np.uint8).reshape(-1, BINS)
+        full = t.column("set").to_pylist()
+        at = np.flatnonzero(~asks)
+        label = comp.copy()
+        out = []
+        for i in np.flatnonzero(asks):
+            near = at[(label[at] != label[i]) & (np.minimum(n[at], n[i]) * 100 >= percent * np.maximum(n[at], n[i]))]
+            agree = (sig[near] == sig[i]).mean(1)
+            order = np.argsort(-agree, kind="stable")
+            for j in near[order[agree[order] >= floor]]:
+                if label[j] != label[i] and similar(full[i], full[j], percent):
+                    out.append((int(ids[i]), int(ids[j])))
+                    label[label == label[j]] = label[i]
+        return out
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.Table] = []
 
-        def flush(t: pa.Table) -> Iterator[pa.RecordBatch]:
-            col = lambda c: t.column(c).to_numpy()
-            sig = np.frombuffer(b"".join(t.column("sig").to_pylist()), np.uint8).reshape(-1, BINS)
-            left, right = compare(col("id"), col("comp"), col("n"), sig, col("stray"), col("home"))
-            if left:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(left)), pa.array(np.concatenate(right))], ["a", "b"])
+        def flush() -> Iterator[pa.RecordBatch]:
+            pairs = compare(pa.concat_tables(held).combine_chunks())
+            held.clear()
+            if pairs:
+                yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in pairs], pa.int64()) for k in (0, 1)], ["a", "b"])
 
-        for batch in batches:  # sorted by bucket and part: cut where they change
+        for batch in batches:  # sorted: cut where the group changes
             t = pa.Table.from_batches([batch])
-            k, p = t.column("bkey").to_numpy(), t.column("part").to_numpy()
-            cuts = [0, *(np.flatnonzero((k[1:] != k[:-1]) | (p[1:] != p[:-1])) + 1).tolist(), len(k)]
+            k = np.stack([t.column(c).to_numpy() for c in ("main", "p", "q")])
+            cuts = [0, *(np.flatnonzero((k[:, 1:] != k[:, :-1]).any(0)) + 1).tolist(), len(t)]
             for s, e in zip(cuts, cuts[1:], strict=False):
-                piece = t.slice(s, e - s)
-                if held and (held[0]["bkey"][0].as_py(), held[0]["part"][0].as_py()) != (int(k[s]), int(p[s])):
-                    yield from flush(pa.concat_tables(held).combine_chunks())
-                    held.clear()
-                held.append(piece)
+                if held and [held[0][c][0].as_py() for c in ("main", "p", "q")] != k[:, s].tolist():
+                    yield from flush()
+                held.append(t.slice(s, e - s))
         if held:
-            yield from flush(pa.concat_tables(held).combine_chunks())
+            yield from flush()
 
-    n = partitions(rows.sparkSession)
-    dealt = rows.repartition(n, "bkey", "part").sortWithinPartitions("bkey", "part")
-    return map_rows(dealt, run, "a long, b long").distinct()
-
-
-def unresolved(members: DataFrame, comps: DataFrame) -> DataFrame:
-    """Rows for rivals(): the members of buckets that hold more than one component."""
-    m = members.join(comps.withColumnRenamed("component", "comp"), "id", "left").withColumn("comp", F.coalesce("comp", "id"))
-    m = materialize(m, "members")
-    sizes = m.groupBy("bkey", "comp").agg(F.count(F.lit(1)).alias("k"))
-    open_ = sizes.groupBy("bkey").agg(F.max_by("comp", F.struct("k", "comp")).alias("main"), F.count(F.lit(1)).alias("comps"), F.sum("k").alias("size")).where("comps > 1")
-    open_ = materialize(open_.select("bkey", "main", F.ceil(F.col("size") / BLOCK).cast("int").alias("parts")), "open")
-    j = m.join(open_, "bkey").withColumn("stray", F.col("comp") != F.col("main")).withColumn("own", F.pmod(F.hash("id"), "parts"))
-    j = j.withColumn("part", F.explode(F.when(F.col("stray"), F.sequence(F.lit(0), F.col("parts") - 1)).otherwise(F.array("own"))))
-    return j.select("bkey", "part", "id", "comp", "n", "sig", "stray", (F.col("part") == F.col("own")).alias("home"))
+    parts = dealt.repartition(partitions(rows.sparkSession), "main", "p", "q").sortWithinPartitions("main", "p", "q")
+    return materialize(map_rows(parts, run, "a long, b long"), "links")
 
 
 def deduplicate(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", width: int = 5, percent: int = 80) -> DataFrame:
@@ -226,7 +230,7 @@ def deduplicate(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text"
     multi = materialize(bands.groupBy("bkey").agg(F.count(F.lit(1)).alias("mates")).where("mates > 1"), "buckets")
     rows = materialize(bands.join(multi, "bkey"), "mates")
     score = materialize(rows.groupBy("id").agg(F.sum("mates").alias("score")), "score")
-    members = rows.select("bkey", "id").join(score, "id").join(reps.select("id", F.col("n_shingles").alias("n"), "sig"), "id")
+    members = rows.select("bkey", "id").join(score, "id").join(reps.select("id", F.col("n_shingles").alias("n")), "id")
     members = materialize(members, "members")
     hubs = materialize(members.groupBy("bkey").agg(F.max_by(F.struct("id", "n"), F.struct("score", -F.col("id"))).alias("hub")), "hubs")
     text = docs.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{text_col}`").alias("t"))
@@ -235,15 +239,9 @@ def deduplicate(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text"
     pairs = members.join(hubs, "bkey").where((F.col("id") != F.col("hub.id")) & close).select(F.col("id").alias("a"), F.col("hub.id").alias("b")).distinct()
     links = verify(pairs, sets, percent)
     comps = connected_components(links)
-    members = members.drop("score")
-    for best in (4, None):
-        more = materialize(rivals(unresolved(members, comps), percent, best), "rivals")
-        if more.isEmpty():
-            continue  # the next pass may look further than the closest few
-        got = verify(more, sets, percent)
-        if not got.isEmpty():
-            links = links.union(got)
-            comps = connected_components(links)
+    more = stray_links(clusters(members, comps), sets.join(reps.select("id", "sig"), "id"), percent)
+    if not more.isEmpty():
+        comps = connected_components(links.union(more))
     own = materialize(classes.join(comps.withColumnRenamed("id", "rep"), "rep", "left").select("set_hash", F.coalesce("component", "rep").alias("c")), "classes")
     out = sk.select("id", "n_shingles", "set_hash").join(own, "set_hash", "left")
     component = F.when(F.col("n_shingles") > 0, F.col("c")).otherwise(F.col("id"))
