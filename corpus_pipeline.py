@@ -28,10 +28,12 @@ def stage_toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 def stage_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keep one document, of the smallest id, of each group linked by similarity of five-word shingles.
 
-    Rows without an id are kept; of rows that are equal in all columns one stays."""
+    Of rows with equal id and text one stays. Rows without an id link with nothing and stay."""
     docs = docs.select(*COLUMNS)
     kept = neardup.deduplicate(docs).where("kept and doc_id is not null").select("doc_id")
-    return docs.dropDuplicates().join(kept.distinct().withColumnRenamed("doc_id", "__kept"), F.col("doc_id") == F.col("__kept"), "left").where("__kept is not null or doc_id is null").select(*COLUMNS)
+    # One shuffle by id serves the join and the removal of repeated rows.
+    named = docs.where("doc_id is not null").join(kept, "doc_id", "left_semi").withColumn("__text", F.xxhash64("text"))
+    return named.dropDuplicates(["doc_id", "__text"]).select(*COLUMNS).union(docs.where("doc_id is null"))
 
 
 def stage_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
