@@ -8,7 +8,7 @@ from __future__ import annotations
 
 import calendar
 import re
-from collections.abc import Callable
+from collections.abc import Callable, Mapping
 from dataclasses import dataclass, field
 from datetime import datetime, timedelta, timezone
 from decimal import Decimal
@@ -238,7 +238,7 @@ MODIFIERS = {"token": {"in"}, "reference": {"identifier"}, "uri": {"below"}}
 class Registry:
     """tables: a DataFrame by type, with a column `id`. compartment: by type, the parameter that holds the subject."""
 
-    tables: dict[str, DataFrame]
+    tables: Mapping[str, DataFrame]
     params: dict[str, dict[str, Param]]
     compartment: dict[str, str] = field(default_factory=dict)
     subject: str = "Patient"
@@ -317,8 +317,9 @@ class Registry:
             if self.value_sets is None:
                 raise SearchError("no value sets")
             codes = self.value_sets(values[0]).select("system", "code").distinct()
-            own = df.select("id", F.explode(self.param(type_, name[:-3]).values()).alias("c")).select("id", "c.system", "c.code")
-            return df.join(own.join(codes, ["system", "code"], "left_semi").select("id"), "id", "left_semi")
+            own = df.select("id", F.explode(self.param(type_, name[:-3]).values()).alias("c")).select("id", F.col("c.system").alias("__s"), F.col("c.code").alias("__c"))
+            hits = own.join(codes, F.col("__s").eqNullSafe(F.col("system")) & (F.col("__c") == F.col("code")), "left_semi")
+            return df.join(hits.select("id"), "id", "left_semi")
         head, _, rest = name.partition(".")
         code_, _, target = head.partition(":")
         p = self.param(type_, code_)

@@ -486,6 +486,11 @@ def value_set_search(spark, d):
     return terminology(spark, d).in_value_set(own, "types").select("p_partkey")
 
 
+@query("SELECT p_partkey FROM part WHERE p_type IN ('ECONOMY', 'STANDARD', 'PROMO')")
+def token_in_value_set(spark, d):
+    return registry(spark, d).search("Part", [("type:in", ["types"])]).select("p_partkey")
+
+
 @query("SELECT o_orderkey, o_totalprice FROM orders WHERE o_custkey = 10 AND o_orderstatus = 'O'")
 def compartment_search(spark, d):
     return registry(spark, d).compartment_search("10", "Order", [("status", ["O"])]).select("o_orderkey", "o_totalprice")

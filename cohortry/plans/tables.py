@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator, Mapping
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -13,23 +15,43 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+class Lazy(Mapping):
+    """DataFrames that are made when they are first asked for: a query reads the schemas of its own tables only."""
+
+    def __init__(self, makers: dict[str, Callable[[], DataFrame]]) -> None:
+        self.makers, self.made = makers, {}
+
+    def __getitem__(self, name: str) -> DataFrame:
+        if name not in self.made:
+            self.made[name] = self.makers[name]()
+        return self.made[name]
+
+    def __iter__(self) -> Iterator[str]:
+        return iter(self.makers)
+
+    def __len__(self) -> int:
+        return len(self.makers)
+
+
 def _ref(kind: str, column: str):
     return lambda: F.array(F.struct(F.lit(kind).alias("type"), F.col(column).cast("string").alias("id")))
 
 
 def registry(spark: SparkSession, sf_dir: str) -> Registry:
     t = lambda name: table(spark, sf_dir, name)
-    lineitem = t("lineitem").withColumn("id", F.concat_ws("-", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"))
-    named = {
-        "Customer": t("customer").withColumn("id", F.col("c_custkey").cast("string")),
-        "Order": t("orders").withColumn("id", F.col("o_orderkey").cast("string")),
-        "LineItem": lineitem,
-        "Event": t("events").withColumn("id", F.col("event_id").cast("string")),
-        "Part": t("part").withColumn("id", F.col("p_partkey").cast("string")),
-        "Supplier": t("supplier").withColumn("id", F.col("s_suppkey").cast("string")),
-        "Nation": t("nation").withColumn("id", F.col("n_nationkey").cast("string")),
-        "Region": t("region").withColumn("id", F.col("r_regionkey").cast("string")),
-    }
+    key = lambda name, column: lambda: t(name).withColumn("id", F.col(column).cast("string"))
+    named = Lazy(
+        {
+            "Customer": key("customer", "c_custkey"),
+            "Order": key("orders", "o_orderkey"),
+            "LineItem": lambda: t("lineitem").withColumn("id", F.concat_ws("-", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey")),
+            "Event": key("events", "event_id"),
+            "Part": key("part", "p_partkey"),
+            "Supplier": key("supplier", "s_suppkey"),
+            "Nation": key("nation", "n_nationkey"),
+            "Region": key("region", "r_regionkey"),
+        }
+    )
     params = {
         "Customer": {
             "segment": Param("token", lambda: code(F.col("c_mktsegment"))),
@@ -76,8 +98,9 @@ def registry(spark: SparkSession, sf_dir: str) -> Registry:
         "Nation": {"region": Param("reference", _ref("Region", "n_regionkey"), ("Region",)), "name": Param("string", lambda: F.array("n_name"))},
         "Region": {"name": Param("string", lambda: F.array("r_name"))},
     }
-    terms = terminology(spark, sf_dir)
-    return Registry(named, params, {"Order": "subject", "Event": "subject"}, "Customer", lambda url: terms.expand(url).withColumn("system", F.when(F.col("system") != "part-type", F.col("system"))), {"Event": "ts", "Order": "o_orderdate"})
+    # Part types are plain codes in the parts' table; the code system names its own.
+    expand = lambda url: terminology(spark, sf_dir).expand(url).withColumn("system", F.when(F.col("system") != "part-type", F.col("system")))
+    return Registry(named, params, {"Order": "subject", "Event": "subject"}, "Customer", expand, {"Event": "ts", "Order": "o_orderdate"})
 
 
 def terminology(spark: SparkSession, sf_dir: str) -> Terminology:
