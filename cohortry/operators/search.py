@@ -372,6 +372,50 @@ class Registry:
         return self.tables[source].join(hits, "id", "left_semi")
 
 
+@dataclass
+class Page:
+    """matches: the page's resources; next_id: where the next page starts; total: only if asked for; included: (type, id)."""
+
+    matches: DataFrame
+    next_id: Callable[[], object]
+    total: int | None = None
+    included: DataFrame | None = None
+
+
+def search_page(reg: Registry, type_: str, query: str, sort_columns: dict[str, str] | None = None, lenient: bool = True) -> Page:
+    """Answer a query string: clauses, _sort, _count, _total, _summary=count, _elements, _include, _revinclude, __page-id."""
+    clauses, result = parse_query(query)
+    found = reg.search(type_, clauses, lenient)
+    size = min(int(result.get("_count", [str(PAGE_SIZE)])[0]), MAX_PAGE_SIZE)
+    count_only = size == 0 or result.get("_summary") == ["count"]
+    total = found.count() if count_only or result.get("_total") == ["accurate"] else None
+    if count_only:
+        return Page(found.limit(0), lambda: None, total)
+    if "_sort" in result and result["_sort"][0] != "_id":
+        offset = int(result.get("__page-offset", ["0"])[0])
+        rows, following = sort(found, result["_sort"][0], sort_columns or {}).offset(offset).limit(size), lambda: None
+    else:
+        rows, following = page(found, size, result.get("__page-id", [None])[0])
+    included = None
+    for name, specs in result.items():
+        for spec in specs:
+            if name.startswith("_include"):
+                part = reg.include(rows, type_, spec, name.endswith(":iterate"))
+            elif name.startswith("_revinclude"):
+                part = reg.rev_include(rows, type_, spec).select(F.lit(spec.split(":")[0]).alias("type"), F.col("id").cast("string").alias("id"))
+            else:
+                continue
+            included = part if included is None else included.unionByName(part).distinct()
+    if included is not None and included.limit(MAX_INCLUDES + 1).count() > MAX_INCLUDES:
+        if size == 1:
+            raise SearchError(f"more than {MAX_INCLUDES} included resources")
+        smaller = re.sub(r"(^|&)_count=[^&]*", "", query) + f"&_count={size // 2}"
+        return search_page(reg, type_, smaller.lstrip("&"), sort_columns, lenient)
+    if "_elements" in result:
+        rows = rows.select("id", *[F.col(c) for c in result["_elements"][0].split(",") if c in rows.columns and c != "id"])
+    return Page(rows, following, total, included)
+
+
 def parse_query(query: str) -> tuple[list[tuple[str, list[str]]], dict[str, list[str]]]:
     """Clauses, and result parameters (_sort, _count, _include, _revinclude, _summary, _elements, _total)."""
     clauses, result = [], {}

@@ -99,3 +99,14 @@ def summary(resources: DataFrame, elements: list[str]) -> DataFrame:
     obj = F.from_json("content", "map<string,string>")
     cut = F.map_filter(obj, lambda k, _: k.isin(keep))
     return resources.withColumn("content", F.to_json(F.map_concat(cut, F.create_map(F.lit("_tag"), F.lit("SUBSETTED")))))
+
+
+def write_xml(resources: DataFrame, type_: str, path: str) -> None:
+    """Resources of one type as XML elements named after the type, in elements named Bundle."""
+    typed(resources, type_).write.format("xml").option("rowTag", type_).option("rootTag", "Bundle").save(path)
+
+
+def kafka_log(spark: SparkSession, servers: str, topic: str, start: str = "earliest") -> DataFrame:
+    """A transaction log in a topic of one partition as a stream (t, instant, commands): t is the offset plus one."""
+    raw = spark.readStream.format("kafka").option("kafka.bootstrap.servers", servers).option("subscribe", topic).option("startingOffsets", start).load()
+    return raw.select((F.col("offset") + 1).alias("t"), F.col("timestamp").alias("instant"), F.col("value").cast("string").alias("commands"))

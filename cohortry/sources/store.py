@@ -5,7 +5,9 @@ nothing is written. Versions live in <path>/versions (partitioned by type), tran
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field
+import json
+import re
+from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -39,7 +41,6 @@ class Command:
     if_none_match: str | None = None
     if_none_exist: object = None
     where: object = None
-    extra: dict = field(default_factory=dict)
 
 
 class Store:
@@ -142,6 +143,33 @@ class Store:
         log(True)
         return t
 
+    def apply_bundle(self, bundle: str | dict, instant) -> int:
+        """A transaction bundle: PUT, POST (create) and DELETE entries as one t."""
+        data = json.loads(bundle) if isinstance(bundle, str) else bundle
+        commands = []
+        for e in data.get("entry", []):
+            request, resource = e.get("request", {}), e.get("resource")
+            method = request.get("method", "PUT")
+            if method == "DELETE":
+                type_, id_ = request["url"].split("/")
+                commands.append(Command("delete", type_, id_))
+                continue
+            match = request.get("ifMatch")
+            content = json.dumps(resource, sort_keys=True, separators=(",", ":"))
+            commands.append(Command("create" if method == "POST" else "put", resource["resourceType"], resource["id"], content, int(re.sub(r"\D", "", match)) if match else None, request.get("ifNoneMatch")))
+        return self.transact(commands, instant)
+
+    def apply_batch(self, bundle: str | dict, instant) -> list[str | int]:
+        """A batch bundle: every entry is a transaction of its own; the outcome is its t or the reason why it failed."""
+        data = json.loads(bundle) if isinstance(bundle, str) else bundle
+        out: list[str | int] = []
+        for e in data.get("entry", []):
+            try:
+                out.append(self.apply_bundle({"entry": [e]}, instant))
+            except Conflict as x:
+                out.append(str(x))
+        return out
+
     def _check(self, now: DataFrame, fresh: DataFrame) -> None:
         gone = fresh.where("op = 'delete'").select("type", "id")
         kept = now.join(fresh.select("type", "id"), ["type", "id"], "left_anti")
