@@ -29,7 +29,7 @@ from cohortry.llm.common import map_rows, materialize, partitions, table
 #: Difference cover modulo V: every residue is a difference of two members (31 = 5 * 5 + 5 + 1, a perfect one).
 V, COVER = 31, (1, 5, 11, 24, 25, 27)
 #: Bytes of an anchor; bytes of text in a chunk; suffixes sorted at once.
-ANCHOR, CHUNK, SUFFIXES = 24, 2 << 20, 1 << 20
+ANCHOR, CHUNK, SUFFIXES = 24, 2 << 20, 1 << 19
 #: Suffixes of one document whose anchors are found at once.
 SEGMENT = 1 << 20
 _A, _B, _C = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0x165667B19E3779F9)

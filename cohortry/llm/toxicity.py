@@ -129,10 +129,10 @@ def telling_features(rows: list[tuple[str, int]], ratio: float = 8.0, level: flo
     seen: set[tuple[int, int, int]] = set()
     for text, y in rows:
         words = _WORD.findall(text.lower())
-        # Copies are no further evidence: a document that shares a minimum of its hashed shingles with an earlier one is left out.
+        # Copies are no further evidence: a document that shares two of three minima of its hashed shingles is left out.
         grams = [zlib.crc32(" ".join(words[i : i + 4]).encode()) for i in range(max(1, len(words) - 3))]
         marks = {(y, k, min((g * m) & 0xFFFFFFFF for g in grams)) for k, m in enumerate((2654435761, 2246822519, 3266489917))}
-        if seen.isdisjoint(marks):
+        if len(seen & marks) < 2:
             count[y].update({f for w in set(words) for f in word_features(w)})
             n[y] += 1
         seen |= marks
