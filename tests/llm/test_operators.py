@@ -1,6 +1,7 @@
 """Each operator against a brute-force version, on documents with nulls, empty and very long texts, ties and repeated rows."""
 
 import hashlib
+import os
 import random
 import re
 import zlib
@@ -330,6 +331,16 @@ def test_embedding_links_match_brute_force(spark, monkeypatch, block):
     assert all(r["kept"] == (r["vec_id"] == r["component_id"]) for r in got)
 
 
+def test_intermediate_tables_can_be_deleted(spark):
+    from cohortry.llm import common
+
+    df = common.materialize(spark.range(3), "gone")
+    path = common._WRITTEN[-1].removeprefix("file://")
+    assert df.count() == 3 and os.path.isdir(path)
+    common.clean(spark)
+    assert not os.path.exists(path) and not common._WRITTEN
+
+
 def test_components(spark):
     edges = [(i, i + 1) for i in range(40)] + [(100, i) for i in range(101, 160)] + [(7, 7), (8, 7), (None, 3), (300, 301), (301, 300)]
     got = dict(col(components.connected_components(spark.createDataFrame(edges, "a long, b long")), "id", "component"))
