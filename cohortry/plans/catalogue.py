@@ -729,3 +729,83 @@ def cql_population_basis(spark, d):
     """
     report = Measure(relational(spark, d), text, [Group({"initial-population": "Orders"}, (Stratifier("status", "Status"),), "Order")]).report()
     return report.where("stratifier is not null").select("stratum", F.col("count").alias("n"))
+
+
+# Further surfaces: paths, text values, windows, grammars.
+
+
+@query("SELECT event_id, CAST(props->>'$.k' AS INTEGER) AS k, CAST(props->>'$.k' AS INTEGER) = 50 AS fifty FROM events WHERE CAST(props->>'$.k' AS INTEGER) < 60")
+def path_expressions(spark, d):
+    from pyspark.sql import types as T
+
+    from cohortry.operators.fhirpath import path
+
+    schema = T.StructType([T.StructField("event_id", T.LongType()), T.StructField("props", T.StructType([T.StructField("k", T.IntegerType())]))])
+    df = table(spark, d, "events").select("event_id", F.from_json("props", "k int").alias("props"))
+    get = lambda text: F.get(path(text, schema, "Event"), F.lit(0))
+    return df.select("event_id", get("Event.props.k").alias("k"), get("props.k = 50").alias("fifty")).where("k < 60")
+
+
+@query("""SELECT o_orderkey, strftime(o_orderdate, '%Y-%m') AS month, CAST(year(o_orderdate) AS INTEGER) AS y, CAST(NULL AS INTEGER) AS d, strftime(o_orderdate + INTERVAL 2 HOUR, '%Y-%m-%dT%H:%M') AS shifted FROM orders""")
+def text_to_dates(spark, d):
+    month = temporal.parse(F.date_format("o_orderdate", "yyyy-MM"))
+    at = temporal.parse(F.concat(F.date_format("o_orderdate", "yyyy-MM-dd"), F.lit("T00:00-02:00")))
+    df = table(spark, d, "orders").select("o_orderkey", month.alias("m"), at.alias("a"))
+    m, a = F.col("m"), F.col("a")
+    return df.select("o_orderkey", temporal.to_string(m).alias("month"), temporal.component(m, "year").alias("y"), temporal.component(m, "day").alias("d"), temporal.to_string(a).alias("shifted"))
+
+
+@query("""SELECT l_orderkey, l_linenumber, l_partkey, round(l_quantity / 1000, 6) AS kg, l_quantity > 25 AS more, true AS can, false AS cannot FROM lineitem""")
+def text_to_quantities(spark, d):
+    q = quantity.parse(F.concat(F.col("l_quantity").cast("string"), F.lit(" 'g'")))
+    df = table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", q.alias("q"))
+    q = F.col("q")
+    return df.select(
+        "l_orderkey", "l_linenumber", "l_partkey", r6(quantity.convert(q, "kg")["value"]).alias("kg"), quantity.greater(q, quantity.quantity(0.025, "kg")).alias("more"),
+        quantity.can_convert(q, "mg").alias("can"), quantity.can_convert(q, "cm").alias("cannot"),
+    )
+
+
+@query("SELECT strftime(time_bucket(INTERVAL 1 DAY, ts), '%Y-%m-%d') AS day, event_type AS code, count(*) AS n FROM events GROUP BY 1, 2")
+def windowed_counts(spark, d):
+    from cohortry.streaming.changes import windowed_counts as counts
+
+    got = counts(table(spark, d, "events"), "1 day")
+    return got.select(F.date_format("window.start", "yyyy-MM-dd").alias("day"), F.col("event_type").alias("code"), "n")
+
+
+@query("SELECT p_partkey, CAST(list_sum([p_size * 1, p_size * 2, (p_size + 1) * 1, (p_size + 1) * 2]) AS BIGINT) AS total, p_size AS only, CAST(p_size AS INTEGER) AS fst FROM part")
+def nested_lists(spark, d):
+    size, key = F.col("p_size").cast("long"), F.col("p_partkey")
+    pairs = lists.times(F.array(size, size + 1), F.array(F.lit(1), F.lit(2)), lambda x, y: x * y)
+    flat = lists.flatten(F.array(F.array(size), F.array(key, size)))
+    return table(spark, d, "part").select("p_partkey", lists.sum_(pairs, "long").alias("total"), lists.singleton_from(F.array(F.col("p_size"))).alias("only"), lists.first(flat).cast("int").alias("fst"))
+
+
+@query("SELECT c_custkey, regexp_full_match(u, '[a-z]+/[a-zA-Z]+') AS ok FROM (SELECT c_custkey, CASE c_custkey % 3 WHEN 0 THEN 'mg/dL' WHEN 1 THEN 'mg//' ELSE 'kg/L' END AS u FROM customer)")
+def grammar_code_systems(spark, d):
+    from cohortry.operators.terminology import valid_by_grammar
+
+    u = logic.case((0, "mg/dL"), (1, "mg//"), comparand=F.col("c_custkey") % 3, other="kg/L")
+    return table(spark, d, "customer").select("c_custkey", valid_by_grammar("http://unitsofmeasure.org", u).alias("ok"))
+
+
+@query("SELECT c_custkey AS id FROM customer WHERE c_mktsegment = 'BUILDING' AND (SELECT count(*) FROM orders WHERE o_custkey = c_custkey AND o_orderstatus = 'O') >= 3")
+def cql_subject_list(spark, d):
+    from cohortry.plans.measure import Group, Measure
+    from cohortry.plans.models import relational
+
+    text = "context Patient define Cohort: Patient.segment = 'BUILDING' and Count([Order: status in { 'O' }]) >= 3"
+    return Measure(relational(spark, d), text, [Group({"initial-population": "Cohort"})]).subjects(0, "initial-population")
+
+
+@query("""SELECT c_custkey AS id, (SELECT CAST(sum(CAST(o_totalprice AS DECIMAL(18,2))) AS DECIMAL(18,2))::VARCHAR FROM orders WHERE o_custkey = c_custkey AND o_orderstatus = 'F') AS total,
+  (SELECT max(value) FROM events WHERE user_id = c_custkey) AS peak FROM customer""")
+def cql_aggregates(spark, d):
+    text = """
+    context Patient
+    define total: Sum([Order: status in { 'F' }] O return all O.total)
+    define peak: Max([Event] E return all E.value)
+    """
+    got = _cql(spark, d, text, ["total", "peak"])
+    return got.select("id", F.col("total").cast("decimal(18,2)").cast("string").alias("total"), F.col("peak").cast("double").alias("peak"))

@@ -102,3 +102,32 @@ def evaluate_expression(model: Model, expression: str, context: str = "Patient",
     """One ad-hoc expression for every subject: (id, value)."""
     text = f"{header}\ncontext {context}\ndefine value: {expression}"
     return Compiler(model, text, parameters, now).plan(["value"])
+
+
+def report_resource(measure: Measure, url: str = "", start: str | None = None, end: str | None = None) -> dict:
+    """The report as a resource: groups, populations with counts, and strata. Its size is that of the strata."""
+    groups: dict[int, dict] = {}
+    for r in measure.report().collect():
+        g = groups.setdefault(r["group"], {"population": {}, "stratifier": {}})
+        if r["stratifier"] is None:
+            g["population"][r["population"]] = r["count"]
+        else:
+            g["stratifier"].setdefault(r["stratifier"], {}).setdefault(r["stratum"], {})[r["population"]] = r["count"]
+    coded = lambda counts: [{"code": {"coding": [{"code": k}]}, "count": n} for k, n in counts.items()]
+    out = []
+    for i in sorted(groups):
+        strata = [
+            {"code": [{"text": code}], "stratum": [{"value": {"text": v}, "population": coded(p)} for v, p in sorted(s.items(), key=lambda x: str(x[0]))]}
+            for code, s in groups[i]["stratifier"].items()
+        ]
+        out.append({"population": coded(groups[i]["population"]), "stratifier": strata})
+    return {"resourceType": "MeasureReport", "status": "complete", "type": "summary", "measure": url, "period": {"start": start, "end": end}, "group": out}
+
+
+def subject_list_resources(measure: Measure, group: int, code: str, list_id: str, kind: str = "Patient") -> DataFrame:
+    """(type, id, content): a List resource of a population's subjects, written to a store or as files."""
+    ids = measure.subjects(group, code).select(F.col("id").cast("string").alias("id"))
+    items = ids.agg(F.array_sort(F.collect_list(F.concat(F.lit(f"{kind}/"), F.col("id")))).alias("refs"))
+    entry = F.transform("refs", lambda r: F.struct(F.struct(r.alias("reference")).alias("item")))
+    body = F.to_json(F.struct(F.lit("List").alias("resourceType"), F.lit(list_id).alias("id"), F.lit("current").alias("status"), F.lit("working").alias("mode"), entry.alias("entry")))
+    return items.select(F.lit("List").alias("type"), F.lit(list_id).alias("id"), body.alias("content"))

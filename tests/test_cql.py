@@ -6,7 +6,7 @@ import pytest
 
 from cohortry.plans.cql import Compiler
 from cohortry.plans.cql_parser import CqlError, parse, parse_expression
-from cohortry.plans.measure import Group, Measure, Stratifier, evaluate_expression
+from cohortry.plans.measure import Group, Measure, Stratifier, evaluate_expression, report_resource, subject_list_resources
 from cohortry.plans.models import clinical
 
 
@@ -126,6 +126,15 @@ def test_measure_report(model):
     assert sorted(r["id"] for r in m.subjects(0, "initial-population").collect()) == ["0", "1", "2"]
 
 
+def test_report_resources(model):
+    measure = Measure(model, HEAD + "define Cohort: exists [Observation: hb]", [Group({"initial-population": "Cohort"}, (Stratifier("city", "City"),))])
+    got = report_resource(measure, "urn:m")
+    assert got["group"][0]["population"] == [{"code": {"coding": [{"code": "initial-population"}]}, "count": 2}]
+    assert [s["value"]["text"] for s in got["group"][0]["stratifier"][0]["stratum"]] == ["Jena", "Leipzig"]
+    row = subject_list_resources(measure, 0, "initial-population", "l").first()
+    assert [e["item"]["reference"] for e in json.loads(row["content"])["entry"]] == ["Patient/0", "Patient/1"]
+
+
 def test_population_of_resources(model):
     group = Group({"initial-population": "All"}, (Stratifier("status", "Status"),), "Observation")
     got = {(r["stratifier"], r["stratum"]): r["count"] for r in Measure(model, HEAD + "define All: [Observation: hb]", [group]).report().collect()}
