@@ -8,6 +8,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from cohortry.operators.lineage import cut
 from cohortry.operators.search import Registry, reference
 
 
@@ -54,7 +55,7 @@ def graph(reg: Registry, start: DataFrame, start_type: str, links: list[Link], m
             key, other = ("r", "h") if link.backward else ("h", "r")
             part = refs.join(ids, refs[key] == F.col("__id"), "left_semi").select(F.lit(link.target).alias("type"), F.col(other).alias("id"))
             step = part if step is None else step.unionByName(part)
-        frontier = step.distinct().join(found, ["type", "id"], "left_anti")
+        frontier = cut(step.distinct().join(found, ["type", "id"], "left_anti"))
         if frontier.isEmpty():
             return found
         found = found.unionByName(frontier)

@@ -18,6 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cohortry.functions.strings import normalized, phonetic
+from cohortry.operators.lineage import cut
 
 PREFIX = re.compile(r"^(eq|ne|gt|lt|ge|le|sa|eb|ap)(.*)$", re.S)
 PAGE_SIZE, MAX_PAGE_SIZE, MAX_INCLUDES = 50, 10_000, 10_000
@@ -355,7 +356,7 @@ class Registry:
         while True:
             again = frontier.where(F.col("type") == source).select(F.col("id"))
             step = self._targets(self.tables[source].join(again, "id", "left_semi"), source, code_, target)
-            frontier = step.join(found, ["type", "id"], "left_anti")
+            frontier = cut(step.join(found, ["type", "id"], "left_anti"))
             if frontier.isEmpty():
                 return found
             found = found.union(frontier).distinct()

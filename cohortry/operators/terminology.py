@@ -11,6 +11,8 @@ from dataclasses import dataclass, field
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from cohortry.operators.lineage import cut
+
 
 def closure(edges: DataFrame, rounds: int = 64) -> DataFrame:
     """(system, ancestor, descendant) of all is-a pairs, each concept with itself: path doubling, log(depth) joins."""
@@ -19,7 +21,7 @@ def closure(edges: DataFrame, rounds: int = 64) -> DataFrame:
     for _ in range(rounds):
         longer = pairs.alias("a").join(pairs.alias("b"), (F.col("a.system") == F.col("b.system")) & (F.col("a.descendant") == F.col("b.ancestor")))
         pairs = pairs.union(longer.select("a.system", "a.ancestor", "b.descendant")).distinct()
-        pairs = pairs.checkpoint() if pairs.sparkSession.conf.get("spark.checkpoint.dir", None) else pairs
+        pairs = cut(pairs)
         m = pairs.count()
         if m == n:
             break
