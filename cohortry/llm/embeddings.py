@@ -35,8 +35,18 @@ def planes(dims: int, bits: int, tables: int) -> np.ndarray:
     return np.random.default_rng([17, dims, bits]).standard_normal((dims, bits * tables))
 
 
+def packed(x: np.ndarray) -> bytes:
+    """Single precision where that is exact, as it is for tables of floats; a leading byte says so."""
+    small = x.astype(np.float32)
+    return b"f" + small.tobytes() if (small == x).all() else b"d" + x.tobytes()
+
+
+def unpacked(data: bytes) -> np.ndarray:
+    return np.frombuffer(data, np.float32 if data[:1] == b"f" else np.float64, offset=1).astype(np.float64)
+
+
 def hashed(df: DataFrame, id_col: str, vec_col: str, bits: int, tables: int) -> DataFrame:
-    """(id, cls, vec, keys): class digest, float64 bytes and a bucket key for each table; null where the vector links with nothing."""
+    """(id, cls, vec, keys): class digest, packed components and a bucket key for each table; null where the vector links with nothing."""
     powers = 1 << np.arange(bits, dtype=np.int64)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -44,12 +54,14 @@ def hashed(df: DataFrame, id_col: str, vec_col: str, bits: int, tables: int) ->
             cls, vecs, keys = [], [], []
             for v in batch.column(1).to_pylist():
                 x = np.array([np.nan if c is None else c for c in v], np.float64) if v else np.zeros(0)
-                if not len(x) or not np.isfinite(x).all() or not x.any():
+                with np.errstate(over="ignore", under="ignore"):
+                    square = x @ x  # lengths that double precision cannot hold are as good as none
+                if not np.isfinite(square) or square == 0.0:
                     cls.append(None), vecs.append(None), keys.append(None)
                     continue
                 code = ((x @ planes(len(x), bits, tables)).reshape(tables, bits) > 0) @ powers
                 cls.append(xxhash.xxh3_128_digest((x + 0.0).tobytes()))
-                vecs.append(x.tobytes())
+                vecs.append(packed(x))
                 # Vectors of different lengths never meet.
                 keys.append((code ^ np.int64(len(x)) << np.int64(41)) * np.int64(64 * 1021) + np.arange(tables, dtype=np.int64))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(cls, pa.binary()), pa.array(vecs, pa.binary()), pa.array(keys, pa.list_(pa.int64()))], ["id", "cls", "vec", "keys"])
@@ -93,7 +105,7 @@ def bucket_links(rows: DataFrame, cosine: float) -> DataFrame:
                 return
             ids, p, q = (t.column(c).to_numpy() for c in ("id", "p", "q"))
             tbl = int(t["tbl"][0].as_py())
-            vec = np.frombuffer(b"".join(t["vec"].to_pylist()), np.float64).reshape(len(t), -1)
+            vec = np.stack([unpacked(v) for v in t["vec"].to_pylist()])
             keys = np.array(t["keys"].to_pylist(), np.int64).reshape(len(t), -1)
             side = None if p[0] == q[0] else t.column("own").to_numpy() == p[0]
             count, edges = compare(ids, t.column("w").to_numpy(), vec, keys, tbl, cosine, side)

@@ -331,6 +331,14 @@ def test_embedding_links_match_brute_force(spark, monkeypatch, block):
     assert all(r["kept"] == (r["vec_id"] == r["component_id"]) for r in got)
 
 
+def test_embeddings_of_doubles(spark):
+    g = np.random.default_rng(8)
+    base = g.standard_normal(16)
+    data = [(i, (base + 0.05 * (i % 3) * g.standard_normal(16)).tolist()) for i in range(30)] + [(100, [0.1] * 8), (101, [0.2] * 8)]
+    got = embeddings.deduplicate(spark.createDataFrame(data, "vec_id long, embedding array<double>"))
+    assert Counter(col(got, "vec_id", "n_links", "component_id")) == brute_links(data, 0.95)
+
+
 def test_intermediate_tables_can_be_deleted(spark):
     from cohortry.llm import common
 
