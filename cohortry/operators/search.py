@@ -70,11 +70,21 @@ def half_unit(text: str) -> Decimal:
 # Predicates on arrays of values. A resource matches if any of its values does.
 
 
-def any_(values: Column, test: Callable[[Column], Column]) -> Column:
+@dataclass(frozen=True)
+class One:
+    """The value of a parameter that has one value at most: its tests are plain comparisons, which reach the scan."""
+
+    col: Column
+
+
+def any_(values: Column | One, test: Callable[[Column], Column]) -> Column:
+    """Some value passes; for one value, the test itself (null, like false, selects nothing)."""
+    if isinstance(values, One):
+        return test(values.col)
     return F.coalesce(F.exists(values, test), F.lit(False))
 
 
-def token(values: Column, text: str) -> Column:
+def token(values: Column | One, text: str) -> Column:
     """code | system|code | |code (no system) | system| (any code)."""
     system, bar, code = text.rpartition("|")
     if not bar:
@@ -86,16 +96,16 @@ def token(values: Column, text: str) -> Column:
     return any_(values, lambda v: (v["system"] == system) & (v["code"] == code))
 
 
-def string(values: Column, text: str) -> Column:
+def string(values: Column | One, text: str) -> Column:
     """Prefix match of normalised text."""
     return any_(values, lambda v: F.startswith(normalized(v), normalized(F.lit(text))))
 
 
-def sounds_like(values: Column, text: str) -> Column:
+def sounds_like(values: Column | One, text: str) -> Column:
     return any_(values, lambda v: phonetic(v) == phonetic(F.lit(text)))
 
 
-def uri(values: Column, text: str, below: bool = False) -> Column:
+def uri(values: Column | One, text: str, below: bool = False) -> Column:
     if not below:
         return any_(values, lambda v: (v == text) | (F.split_part(v, F.lit("|"), F.lit(1)) == text))
     return any_(values, lambda v: (v == text) | F.startswith(v, F.lit(text + ".")) | F.startswith(v, F.lit(text + "|")) | F.startswith(v, F.lit(text.rstrip("/") + "/")))
@@ -117,7 +127,7 @@ def date_test(op: str, lo: int, hi: int) -> Callable[[Column], Column]:
     return tests[op]
 
 
-def date(values: Column, text: str) -> Column:
+def date(values: Column | One, text: str) -> Column:
     op, rest = split_prefix(text)
     return any_(values, date_test(op, *date_range(rest)))
 
@@ -141,7 +151,7 @@ def _number_test(text: str) -> Callable[[Column], Column]:
     return tests[op]
 
 
-def number(values: Column, text: str) -> Column:
+def number(values: Column | One, text: str) -> Column:
     return any_(values, _number_test(text))
 
 
@@ -156,11 +166,11 @@ def quantity_test(text: str) -> Callable[[Column], Column]:
     return lambda v: test(v["value"]) & (F.coalesce(v["code"] == unit[-1], F.lit(False)) | F.coalesce(v["unit"] == unit[-1], F.lit(False)))
 
 
-def quantity(values: Column, text: str) -> Column:
+def quantity(values: Column | One, text: str) -> Column:
     return any_(values, quantity_test(text))
 
 
-def reference(values: Column, text: str, target: str | None = None) -> Column:
+def reference(values: Column | One, text: str, target: str | None = None) -> Column:
     """Type/id, or an id alone."""
     type_, slash, id_ = text.rpartition("/")
     kind = type_.rpartition("/")[2] if slash else target
@@ -174,7 +184,7 @@ def haversine_km(lat: Column, lon: Column, lat0: float, lon0: float) -> Column:
     return 2 * 6371.0 * F.asin(F.sqrt(a))
 
 
-def near(values: Column, text: str) -> Column:
+def near(values: Column | One, text: str) -> Column:
     """lat|lon[|distance[|km or m]], 1 km by default."""
     lat, lon, *rest = text.split("|")
     far = float(rest[0]) if rest and rest[0] else 1.0
@@ -183,7 +193,7 @@ def near(values: Column, text: str) -> Column:
     return any_(values, lambda v: haversine_km(v["lat"], v["lon"], float(lat), float(lon)) <= far)
 
 
-def composite(elements: Column, first: Callable[[Column], Column], second: Callable[[Column], Column]) -> Column:
+def composite(elements: Column | One, first: Callable[[Column], Column], second: Callable[[Column], Column]) -> Column:
     """Both tests hold in the same element."""
     return any_(elements, lambda e: first(e) & second(e))
 
@@ -195,8 +205,9 @@ def codings(concept: Column) -> Column:
     return F.transform(concept["coding"], lambda c: F.struct(c["system"].alias("system"), c["code"].alias("code")))
 
 
-def code(value: Column) -> Column:
-    return F.when(value.isNotNull(), F.array(F.struct(F.lit(None).cast("string").alias("system"), value.cast("string").alias("code"))))
+def code(value: Column, system: str | None = None) -> One:
+    """A code element: one token."""
+    return One(F.struct(F.lit(system).cast("string").alias("system"), value.cast("string").alias("code")))
 
 
 def reference_value(ref: Column) -> Column:
@@ -211,13 +222,13 @@ def seconds(value: Column) -> Column:
     return F.when(value.isNotNull(), F.array(F.struct(unix(value["lo"]).alias("lo"), unix(value["hi"]).alias("hi"))))
 
 
-def instant(ts: Column, unit: str | None = None) -> Column:
+def instant(ts: Column, unit: str | None = None) -> One:
     """A timestamp as a date value: itself, or the day, month or year that it stands for."""
     lo = F.unix_seconds(ts.cast("timestamp"))
     if unit is None:
-        return F.array(F.struct(lo.alias("lo"), lo.alias("hi")))
+        return One(F.struct(lo.alias("lo"), lo.alias("hi")))
     start = F.date_trunc(unit, ts)
-    return F.array(F.struct(F.unix_seconds(start.cast("timestamp")).alias("lo"), (F.unix_seconds(F.timestamp_add(unit.upper(), F.lit(1), start).cast("timestamp")) - 1).alias("hi")))
+    return One(F.struct(F.unix_seconds(start.cast("timestamp")).alias("lo"), (F.unix_seconds(F.timestamp_add(unit.upper(), F.lit(1), start).cast("timestamp")) - 1).alias("hi")))
 
 
 @dataclass(frozen=True)
@@ -227,7 +238,7 @@ class Param:
     targets: types that a reference can have. parts (composite): kinds and names of the fields of an element."""
 
     kind: str
-    values: Callable[[], Column]
+    values: Callable[[], Column | One]
     targets: tuple[str, ...] = ()
     parts: tuple[tuple[str, str], ...] = ()
 
@@ -274,7 +285,7 @@ class Registry:
                 tests = []
                 for (kind, name_), text in zip(p.parts, v.split("$"), strict=True):
                     if kind == "token":
-                        tests.append(lambda e, n=name_, t=text: token(e[n], t))
+                        tests.append(lambda e, n=name_, t=text: token(One(e[n]) if isinstance(cols, One) else e[n], t))
                     else:
                         tests.append(lambda e, n=name_, q=quantity_test(text): q(e[n]))
                 out = out | composite(cols, *tests)
@@ -303,7 +314,10 @@ class Registry:
 
     def refs(self, df: DataFrame, type_: str, code_: str) -> DataFrame:
         """(id, ref_type, ref_id) of a reference parameter."""
-        return df.select("id", F.explode(self.param(type_, code_).values()).alias("r")).select("id", F.col("r.type").alias("ref_type"), F.col("r.id").alias("ref_id"))
+        values = self.param(type_, code_).values()
+        if isinstance(values, One):
+            return df.select("id", values.col["type"].alias("ref_type"), values.col["id"].alias("ref_id")).where("ref_id is not null")
+        return df.select("id", F.explode(values).alias("r")).select("id", F.col("r.type").alias("ref_type"), F.col("r.id").alias("ref_id"))
 
     def _join(self, df: DataFrame, type_: str, name: str, values: list[str]) -> DataFrame:
         if name == "_list":
@@ -318,7 +332,8 @@ class Registry:
             if self.value_sets is None:
                 raise SearchError("no value sets")
             codes = self.value_sets(values[0]).select("system", "code").distinct()
-            own = df.select("id", F.explode(self.param(type_, name[:-3]).values()).alias("c")).select("id", F.col("c.system").alias("__s"), F.col("c.code").alias("__c"))
+            values = self.param(type_, name[:-3]).values()
+            own = df.select("id", values.col.alias("c") if isinstance(values, One) else F.explode(values).alias("c")).select("id", F.col("c.system").alias("__s"), F.col("c.code").alias("__c"))
             hits = own.join(codes, F.col("__s").eqNullSafe(F.col("system")) & (F.col("__c") == F.col("code")), "left_semi")
             return df.join(hits.select("id"), "id", "left_semi")
         head, _, rest = name.partition(".")

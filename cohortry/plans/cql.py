@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from cohortry.functions import arithmetic, convert, intervals, lists, quantity, strings, temporal
 from cohortry.functions.logic import let
+from cohortry.operators.search import One
 from cohortry.plans.cql_parser import CqlError, Library, parse
 
 
@@ -27,7 +28,7 @@ class Type:
     df: DataFrame
     subject: Column | None
     elements: dict[str, tuple[Column, str]]
-    codes: dict[str, Column] = field(default_factory=dict)
+    codes: dict[str, Column | One] = field(default_factory=dict)
 
 
 @dataclass
@@ -65,6 +66,7 @@ class Compiler:
                 raise CqlError(f"unknown parameter {p}")
         self.names = self._names()
         self.aggs: dict[str, dict[str, Column]] = {}  # by type: name -> aggregate over its rows
+        self.tests: dict[str, list[Column]] = {}  # by type: which rows an aggregate counts, for each of them
         self.joins: dict[str, list[tuple[str, Column, DataFrame]]] = {}  # by type: flag, key, members
         self.open: list[str] = []
 
@@ -100,9 +102,11 @@ class Compiler:
                 raise CqlError("no terminology")
             members = self.model.value_sets(self.lib.valuesets[codes[1]]).select(F.col("system").alias("__s"), F.col("code").alias("__c")).distinct()
             flag = f"__in{len(self.joins.setdefault(type_, []))}"
-            self.joins[type_].append((flag, col, members))
+            self.joins[type_].append((flag, F.array(col.col) if isinstance(col, One) else col, members))
             return F.col(flag)
         wanted = self._static_codes(codes)
+        if isinstance(col, One):
+            return _any([(col.col["code"] == v) if s is None else (col.col["system"] == s) & (col.col["code"] == v) for s, v in wanted])
         return F.coalesce(F.exists(col, lambda c: _any([(c["code"] == v) if s is None else (c["system"] == s) & (c["code"] == v) for s, v in wanted])), F.lit(False))
 
     def _static_codes(self, e: tuple) -> list[tuple[str | None, str]]:
@@ -120,8 +124,9 @@ class Compiler:
             return self._static_codes(self.lib.defines[e[1]][1])
         raise CqlError("codes of a retrieve have to be static")
 
-    def _agg(self, type_: str, col: Column, prefix: str) -> Column:
+    def _agg(self, type_: str, col: Column, prefix: str, test: Column) -> Column:
         own = self.aggs.setdefault(type_, {})
+        self.tests.setdefault(type_, []).append(test)
         name = f"__{prefix}_{type_}_{len(own)}"
         own[name] = col
         return F.col(name)
@@ -327,7 +332,7 @@ class Compiler:
         if type_ == self.model.subject:
             return V(F.array(F.col("__subject")), f"List<Row:{type_}>")
         test = self._code_test(type_, prop, codes, env)
-        return V(F.coalesce(self._agg(type_, F.collect_list(F.when(test, self._struct(type_))), "rows"), F.array()), f"List<Row:{type_}>")
+        return V(F.coalesce(self._agg(type_, F.collect_list(F.when(test, self._struct(type_))), "rows", test), F.array()), f"List<Row:{type_}>")
 
     def _row_test(self, source: tuple, alias: str | None, relations: list, where: tuple | None) -> tuple[str, Column] | None:
         """(type, condition) of a retrieve with a condition on its own rows only."""
@@ -340,7 +345,7 @@ class Compiler:
             t = self.model.types[source[1]]
             env = {alias: V(F.struct(*[c.alias(n) for n, (c, _) in t.elements.items() if n in self.names]), f"Row:{source[1]}"), "$rowonly": source[1]}
             try:
-                test = test & F.coalesce(self.expr(where, env).col, F.lit(False))
+                test = test & self.expr(where, env).col.cast("boolean")
             except _NeedsSubject:
                 return None
         return source[1], test
@@ -413,12 +418,12 @@ class Compiler:
         if name in ("Exists", "exists"):
             fused = self._fused(args[0], env)
             if fused:
-                return V(F.coalesce(self._agg(fused[0], F.some(fused[1]), "flag"), F.lit(False)), "Boolean")
+                return V(F.coalesce(self._agg(fused[0], F.some(fused[1]), "flag", fused[1]), F.lit(False)), "Boolean")
             return V(lists.exists(self.expr(args[0], env).col), "Boolean")
         if name == "Count":
             fused = self._fused(args[0], env) if args[0][0] in ("retrieve", "paren", "ref") or args[0][0] == "query" and args[0][5] is None else None
             if fused:
-                return V(F.coalesce(self._agg(fused[0], F.count_if(fused[1]), "count"), F.lit(0)), "Integer")
+                return V(F.coalesce(self._agg(fused[0], F.count_if(fused[1]), "count", fused[1]), F.lit(0)), "Integer")
         if (name, len(args)) in self.lib.functions:
             names, body = self.lib.functions[name, len(args)]
             return self.expr(body, {**env, **{n: self.expr(a, env) for n, a in zip(names, args, strict=True)}})
@@ -472,7 +477,7 @@ class Compiler:
         s = self.model.types[self.model.subject]
         base = s.df.select(s.elements["id"][0].alias("__id"), self._struct(self.model.subject).alias("__subject"))
         for type_, aggs in self.aggs.items():
-            rows = self._rows(type_)
+            rows = self._rows(type_).where(_any(self.tests[type_]))  # rows that no aggregate counts are not shuffled
             per = rows.groupBy(self.model.types[type_].subject.alias("__ref")).agg(*[a.alias(n) for n, a in aggs.items()])
             base = base.join(per, F.col("__id") == F.col("__ref"), "left").drop("__ref")
         return base.select(F.col("__id").alias("id"), *cols)

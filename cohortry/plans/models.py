@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cohortry.functions import convert, temporal
+from cohortry.operators.search import code as code_token
 from cohortry.plans.cql import Model, Type
 from cohortry.plans.tables import table
 from cohortry.sources.resources import typed
@@ -86,7 +87,7 @@ def relational(spark: SparkSession, sf_dir: str) -> Model:
     c = F.col
     day = lambda n: (temporal.of(c(n), "day"), "Date")
     num = lambda n: (c(n).cast("decimal(28,8)"), "Decimal")
-    code = lambda n: F.array(F.struct(F.lit(None).cast("string").alias("system"), c(n).alias("code")))
+    code = lambda n: code_token(c(n))
     text = lambda n: (c(n), "String")
     return Model(
         {

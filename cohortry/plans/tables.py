@@ -7,7 +7,7 @@ from collections.abc import Callable, Iterator, Mapping
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cohortry.operators.search import Param, Registry, code, instant
+from cohortry.operators.search import One, Param, Registry, code, instant
 from cohortry.operators.terminology import Filter, Include, Terminology, ValueSet
 
 
@@ -34,7 +34,7 @@ class Lazy(Mapping):
 
 
 def _ref(kind: str, column: str):
-    return lambda: F.array(F.struct(F.lit(kind).alias("type"), F.col(column).cast("string").alias("id")))
+    return lambda: One(F.struct(F.lit(kind).alias("type"), F.col(column).cast("string").alias("id")))
 
 
 def registry(spark: SparkSession, sf_dir: str) -> Registry:
@@ -55,48 +55,48 @@ def registry(spark: SparkSession, sf_dir: str) -> Registry:
     params = {
         "Customer": {
             "segment": Param("token", lambda: code(F.col("c_mktsegment"))),
-            "name": Param("string", lambda: F.array("c_name")),
-            "balance": Param("number", lambda: F.array(F.col("c_acctbal").cast("decimal(28,8)"))),
+            "name": Param("string", lambda: One(F.col("c_name"))),
+            "balance": Param("number", lambda: One(F.col("c_acctbal").cast("decimal(28,8)"))),
             "nation": Param("reference", _ref("Nation", "c_nationkey"), ("Nation",)),
         },
         "Order": {
             "status": Param("token", lambda: code(F.col("o_orderstatus"))),
-            "priority": Param("token", lambda: F.array(F.struct(F.lit("priority").alias("system"), F.col("o_orderpriority").alias("code")))),
+            "priority": Param("token", lambda: code(F.col("o_orderpriority"), "priority")),
             "date": Param("date", lambda: instant(F.col("o_orderdate"), "day")),
             "period": Param("date", lambda: instant(F.col("o_orderdate"), "month")),
-            "total": Param("number", lambda: F.array(F.col("o_totalprice").cast("decimal(28,8)"))),
+            "total": Param("number", lambda: One(F.col("o_totalprice").cast("decimal(28,8)"))),
             "subject": Param("reference", _ref("Customer", "o_custkey"), ("Customer",)),
         },
         "LineItem": {
             "flag": Param("token", lambda: code(F.col("l_returnflag"))),
-            "quantity": Param("quantity", lambda: F.array(F.struct(F.col("l_quantity").cast("decimal(28,8)").alias("value"), F.lit("pc").alias("unit"), F.lit("units").alias("system"), F.lit("pc").alias("code")))),
+            "quantity": Param("quantity", lambda: One(F.struct(F.col("l_quantity").cast("decimal(28,8)").alias("value"), F.lit("pc").alias("unit"), F.lit("units").alias("system"), F.lit("pc").alias("code")))),
             "order": Param("reference", _ref("Order", "l_orderkey"), ("Order",)),
             "part": Param("reference", _ref("Part", "l_partkey"), ("Part",)),
             "supplier": Param("reference", _ref("Supplier", "l_suppkey"), ("Supplier",)),
             "flag-quantity": Param(
                 "composite",
-                lambda: F.array(F.struct(code(F.col("l_returnflag")).alias("flag"), F.struct(F.col("l_quantity").cast("decimal(28,8)").alias("value"), F.lit("pc").alias("unit"), F.lit("units").alias("system"), F.lit("pc").alias("code")).alias("quantity"))),
+                lambda: One(F.struct(code(F.col("l_returnflag")).col.alias("flag"), F.struct(F.col("l_quantity").cast("decimal(28,8)").alias("value"), F.lit("pc").alias("unit"), F.lit("units").alias("system"), F.lit("pc").alias("code")).alias("quantity"))),
                 parts=(("token", "flag"), ("quantity", "quantity")),
             ),
         },
         "Event": {
             "type": Param("token", lambda: code(F.col("event_type"))),
             "date": Param("date", lambda: instant(F.col("ts"))),
-            "value": Param("number", lambda: F.array(F.col("value").cast("decimal(28,8)"))),
+            "value": Param("number", lambda: One(F.col("value").cast("decimal(28,8)"))),
             "subject": Param("reference", _ref("Customer", "user_id"), ("Customer",)),
         },
         "Part": {
-            "name": Param("string", lambda: F.array("p_name")),
-            "brand": Param("token", lambda: F.array(F.struct(F.lit("brand").alias("system"), F.col("p_brand").alias("code")))),
+            "name": Param("string", lambda: One(F.col("p_name"))),
+            "brand": Param("token", lambda: code(F.col("p_brand"), "brand")),
             "type": Param("token", lambda: code(F.col("p_type"))),
-            "sound": Param("phonetic", lambda: F.array("p_name")),
+            "sound": Param("phonetic", lambda: One(F.col("p_name"))),
         },
         "Supplier": {
             "nation": Param("reference", _ref("Nation", "s_nationkey"), ("Nation",)),
-            "position": Param("near", lambda: F.array(F.struct((F.pmod(F.col("s_suppkey") * 7, F.lit(180)) - 90).cast("double").alias("lat"), (F.pmod(F.col("s_suppkey") * 13, F.lit(360)) - 180).cast("double").alias("lon")))),
+            "position": Param("near", lambda: One(F.struct((F.pmod(F.col("s_suppkey") * 7, F.lit(180)) - 90).cast("double").alias("lat"), (F.pmod(F.col("s_suppkey") * 13, F.lit(360)) - 180).cast("double").alias("lon")))),
         },
-        "Nation": {"region": Param("reference", _ref("Region", "n_regionkey"), ("Region",)), "name": Param("string", lambda: F.array("n_name"))},
-        "Region": {"name": Param("string", lambda: F.array("r_name"))},
+        "Nation": {"region": Param("reference", _ref("Region", "n_regionkey"), ("Region",)), "name": Param("string", lambda: One(F.col("n_name")))},
+        "Region": {"name": Param("string", lambda: One(F.col("r_name")))},
     }
     # Part types are plain codes in the parts' table; the code system names its own.
     expand = lambda url: terminology(spark, sf_dir).expand(url).withColumn("system", F.when(F.col("system") != "part-type", F.col("system")))
