@@ -53,7 +53,7 @@ class Shingler:
         words = text.encode("utf-8", "surrogatepass").translate(_LOWER).split() if text else []
         if not words:
             return np.zeros(0, np.uint64)
-        if len(self.words) > 500_000:
+        if len(self.words) > 100_000:
             self.words.clear()
         known = self.words
         for w in set(words):

@@ -29,7 +29,7 @@ from cohortry.llm.common import map_rows, materialize, partitions, table
 #: Difference cover modulo V: every residue is a difference of two members (31 = 5 * 5 + 5 + 1, a perfect one).
 V, COVER = 31, (1, 5, 11, 24, 25, 27)
 #: Bytes of an anchor; bytes of text in a chunk; suffixes sorted at once.
-ANCHOR, CHUNK, SUFFIXES = 24, 2 << 20, 1 << 19
+ANCHOR, CHUNK, SUFFIXES = 24, 2 << 20, 1 << 18
 #: Suffixes of one document whose anchors are found at once.
 SEGMENT = 1 << 20
 _A, _B, _C = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0x165667B19E3779F9)
@@ -379,15 +379,18 @@ def _merge(n: int, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.n
     return s[f], np.minimum(e[np.append(f[1:] - 1, len(e) - 1)], n)
 
 
-def remove_repeats(df: DataFrame, *, length: int = 100, id_col: str = "doc_id", text_col: str = "text", keep_text: bool = False) -> DataFrame:
-    """df without text_col, with n_bytes, n_removed, n_spans and kept_sha256 of each row, and the kept bytes if asked for.
+def remove_repeats(df: DataFrame, *, length: int = 100, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
+    """df without text_col, with n_bytes, n_removed, n_spans and kept_sha256 of each row.
+
+    keep: further columns, of `kept` (the bytes left) and `kept_text` (those bytes as text; characters cut in part go).
 
     A byte goes if a string of `length` bytes that covers it also starts earlier: in a row of smaller id, or earlier in
     the same row. Rows of equal id follow the order in which they were read, rows without an id come last. Null and
     empty texts, and texts shorter than `length`, lose nothing. Columns of df with a new column's name are replaced;
     an empty table stays empty."""
     new = [T.StructField("n_bytes", T.LongType()), T.StructField("n_removed", T.LongType()), T.StructField("n_spans", T.LongType()), T.StructField("kept_sha256", T.StringType())]
-    new += [T.StructField("kept", T.BinaryType())] if keep_text else []
+    new += [T.StructField("kept", T.BinaryType())] if "kept" in keep else []
+    new += [T.StructField("kept_text", T.StringType())] if "kept_text" in keep else []
     taken = {f.name.lower() for f in new}
     cols = [c for c in df.columns if c == text_col or c.lower() not in taken]
     df = df.select(*[F.col(f"`{c}`") for c in cols])
@@ -411,20 +414,19 @@ def remove_repeats(df: DataFrame, *, length: int = 100, id_col: str = "doc_id",
         out = [[] for _ in new]
         for k, text in enumerate(texts):
             a, b = edges[k], edges[k + 1]
-            spans, keep, gone = 0, text.tobytes(), 0
+            spans, left, gone = 0, text.tobytes(), 0
             if a < b:
                 start, end = _merge(len(text), s[a:b], s[a:b] + m[a:b] + length - 1)
-                left_, data = [], keep
-                at = 0
+                pieces, at = [], 0
                 for x, y in zip(start.tolist(), end.tolist(), strict=True):
-                    left_.append(data[at:x])
+                    pieces.append(left[at:x])
                     at = y
-                keep = b"".join([*left_, data[at:]])
+                left = b"".join([*pieces, left[at:]])
                 spans, gone = len(start), int((end - start).sum())
-            for col, v in zip(out, (len(text), gone, spans, hashlib.sha256(keep).hexdigest(), keep), strict=False):
-                col.append(v)
-        types = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.binary()]
-        return pa.table([*(rows.column(c) for c in rest), *(pa.array(c, t) for c, t in zip(out, types, strict=False))], names=schema.names)
+            for f, col in zip(new, out, strict=True):
+                col.append({"n_bytes": len(text), "n_removed": gone, "n_spans": spans}[f.name] if f.name.startswith("n_") else hashlib.sha256(left).hexdigest() if f.name == "kept_sha256" else left if f.name == "kept" else left.decode("utf-8", "ignore"))
+        types = {"LongType()": pa.int64(), "StringType()": pa.string(), "BinaryType()": pa.binary()}
+        return pa.table([*(rows.column(c) for c in rest), *(pa.array(c, types[str(f.dataType)]) for c, f in zip(out, new, strict=True))], names=schema.names)
 
     return chunks.groupBy("chunk").cogroup(found.groupBy("chunk")).applyInArrow(finish, schema)
 

@@ -45,7 +45,7 @@ class Model:
         try:
             return self._words[word]
         except KeyError:
-            if len(self._words) > 300_000:
+            if len(self._words) > 60_000:
                 self._words.clear()
             got = [v for f in word_features(word) if (v := self.weights.get(f)) is not None]
             self._words[word] = out = self.other + sum(got) if got else None

@@ -6,14 +6,13 @@ into sequences. All but the last stage return the columns of documents; n_chars
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 
-import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cohortry.llm import neardup, packing, secrets, suffix, toxicity
-from cohortry.llm.common import held_out, map_rows, materialize, table
+from cohortry.llm.common import held_out, materialize, table
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
@@ -38,16 +37,10 @@ def stage_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 def stage_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Cut every byte of a 100-byte string that starts earlier in the corpus. Characters cut in part go whole; documents stay, even if emptied."""
-    done = suffix.remove_repeats(docs.select(*COLUMNS, F.col("text").isNull().alias("__null")), keep_text=True)
-
-    def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            doc_id, lang, source, n_chars, kept, gone, empty = batch.columns
-            texts = [None if e else k.decode("utf-8", "ignore") for k, e in zip(kept.to_pylist(), empty.to_pylist(), strict=True)]
-            n = [len(t) if g else k for t, g, k in zip(texts, gone.to_pylist(), n_chars.to_pylist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([doc_id, pa.array(texts, pa.string()), lang, source, pa.array(n, pa.int64())], list(COLUMNS))
-
-    return map_rows(done.select("doc_id", "lang", "source", "n_chars", "kept", "n_removed", "__null"), decode, docs.select(*COLUMNS).schema)
+    done = suffix.remove_repeats(docs.select(*COLUMNS, F.col("text").isNull().alias("__null")), keep=("kept_text",))
+    text = F.when(~F.col("__null"), F.col("kept_text"))
+    n = F.when(F.col("n_removed") > 0, F.length("kept_text").cast("long")).otherwise(F.col("n_chars"))
+    return done.select("doc_id", text.alias("text"), "lang", "source", n.alias("n_chars"))
 
 
 def stage_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

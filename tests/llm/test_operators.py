@@ -62,7 +62,8 @@ def brute_repeats(data, length):
 
 def check_repeats(spark, data, length):
     df = spark.createDataFrame(data, "doc_id long, text string").repartition(3)
-    got = suffix.remove_repeats(df, length=length, keep_text=True)
+    got = suffix.remove_repeats(df, length=length, keep=("kept", "kept_text"))
+    assert all(bytes(k).decode("utf-8", "ignore") == t and hashlib.sha256(bytes(k)).hexdigest() == h for k, t, h in col(got, "kept", "kept_text", "kept_sha256"))
     have = Counter(col(got, "doc_id", "n_bytes", "kept", "n_removed", "n_spans"))
     order = sorted(data, key=lambda r: (r[0] is None, r[0] or 0, r[1] or ""))
     want = Counter((r[0], b[0], b[1], b[2], b[3]) for r, b in zip(order, brute_repeats(order, length), strict=True))
@@ -577,4 +578,4 @@ def test_clashing_columns(spark, clashing):
     assert langid.identify(clashing, langid.train([("abc", "x"), ("def", "y")] * 5)).count() == n
     assert quality.judge(clashing, spark.createDataFrame([(1, 1, 0)], "doc_id long, quality int, toxic int")).count() == n
     assert secrets.scan(clashing).count() == n
-    assert len(WORDS) > 10 and hashlib
+    assert len(WORDS) > 10
