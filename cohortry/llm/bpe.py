@@ -3,21 +3,32 @@
 from __future__ import annotations
 
 import base64
+import hashlib
+from collections.abc import Iterable
 from functools import lru_cache
 
+import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from cohortry.llm.common import table, with_arrow_columns
 
 #: Texts longer than this many code points are cut at safe boundaries before encoding.
 PIECE = 1 << 16
-#: Between a character that is not white space and one that is, a match of the pattern always ends:
-#: white space stands only at the start of a match or makes up all of it.
-_SAFE = regex.compile(r"(?<=\S)(?=\s)")
+#: Between a character that is not white space and a space or line end, a match of the pattern always ends: white space
+#: stands only at the start of a match or makes up all of it. Engines differ over rarer white space, which is left alone.
+_SAFE = regex.compile(r"(?<=\S)(?=[ \n])")
+#: What encoding can return for each text; nothing else leaves the Python worker. The digests are lowercase hex: of the
+#: decimal ids joined by commas, and of the bytes that the ids decode to.
+OUTPUTS = {
+    "ids": T.ArrayType(T.IntegerType()),
+    "n_tokens": T.LongType(),
+    "decoded": T.BinaryType(),
+    "ids_sha256": T.StringType(),
+    "decoded_sha256": T.StringType(),
+}
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -47,44 +58,65 @@ def pieces(text: str, size: int = PIECE) -> list[str]:
     return out
 
 
-def encode_text(enc, text: str | None) -> list[int]:
-    if not text:
-        return []
-    if len(text) <= PIECE:
-        return enc.encode_ordinary(text)
-    return [i for p in pieces(text) for i in enc.encode_ordinary(p)]
+@lru_cache(maxsize=4)
+def _decimals(path: str) -> list[str]:
+    return [str(i) for i in range(encoding(path).n_vocab)]
 
 
-def _lists(rows: list[list[int]]) -> pa.Array:
-    offsets, at = [0], 0
-    for r in rows:
-        at += len(r)
-        offsets.append(at)
-    flat = pa.array([i for r in rows for i in r], pa.int32())
-    return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), flat)
+def encode_text(enc, text: str | None) -> np.ndarray:
+    """Token ids; special tokens are ordinary text."""
+    if not text:
+        return np.zeros(0, np.uint32)
+    parts = [enc.encode_to_numpy(p, disallowed_special=()) for p in (pieces(text) if len(text) > PIECE else [text])]
+    return parts[0] if len(parts) == 1 else np.concatenate(parts)
 
 
-def encode(df: DataFrame, path: str, text_col: str = "text", ids_col: str = "ids") -> DataFrame:
-    """df with the token ids of each whole text. Null and empty texts have no ids; special tokens are ordinary text.
+def _lists(rows: list[np.ndarray]) -> pa.Array:
+    offsets = np.concatenate([[0], np.cumsum([len(r) for r in rows])]).astype(np.int32)
+    flat = np.concatenate([*rows, np.zeros(0, np.uint32)]).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat))
 
-    Rows are independent: ties and repeated rows each get their own ids, an empty table gives an empty table,
-    other columns pass through, and a column named as ids_col is replaced."""
 
-    def fn(texts: list) -> list[pa.Array]:
-        enc = encoding(path)
-        return [_lists([encode_text(enc, t) for t in texts])]
-
-    return with_arrow_columns(df, text_col, [T.StructField(ids_col, T.ArrayType(T.IntegerType()))], fn)
+def encode(df: DataFrame, path: str, text_col: str = "text", ids_col: str = "ids", *, outputs: Iterable[str] = ("ids",), keep: Iterable[str] | None = None) -> DataFrame:
+    """The columns `keep` of df (all by default) with what `outputs` names (see OUTPUTS) for each whole text.
 
+    Null and empty texts have no ids and decode to no bytes; special tokens are ordinary text. Rows are independent: ties
+    and repeated rows each get their own ids, an empty table gives an empty table, other columns pass through, and a
+    column with the name of an output (ids_col for the ids) is replaced."""
+    outputs = list(outputs)
 
-def decode(df: DataFrame, path: str, ids_col: str = "ids", out_col: str = "decoded") -> DataFrame:
+    def fn(texts: list) -> list[pa.Array]:
+        enc, cols = encoding(path), {o: [] for o in outputs}
+        for text in texts:
+            ids = encode_text(enc, text)
+            listed = ids.tolist() if cols.keys() - {"ids", "n_tokens"} else []
+            data = enc.decode_bytes(listed) if cols.keys() & {"decoded", "decoded_sha256"} else b""
+            for o, col in cols.items():
+                if o == "ids":
+                    col.append(ids)
+                elif o == "n_tokens":
+                    col.append(len(ids))
+                elif o == "decoded":
+                    col.append(data)
+                elif o == "ids_sha256":
+                    col.append(hashlib.sha256(",".join(map(_decimals(path).__getitem__, listed)).encode()).hexdigest())
+                else:
+                    col.append(hashlib.sha256(data).hexdigest())
+        kinds = {"n_tokens": pa.int64(), "decoded": pa.binary()}
+        return [_lists(col) if o == "ids" else pa.array(col, kinds.get(o, pa.string())) for o, col in cols.items()]
+
+    fields = [T.StructField(ids_col if o == "ids" else o, OUTPUTS[o]) for o in outputs]
+    return with_arrow_columns(df, text_col, fields, fn, keep)
+
+
+def decode(df: DataFrame, path: str, ids_col: str = "ids", out_col: str = "decoded", *, keep: Iterable[str] | None = None) -> DataFrame:
     """df with the raw bytes of each id list (any cut of ids decodes: bytes need not be UTF-8). Null gives no bytes."""
 
     def fn(rows: list) -> list[pa.Array]:
         enc = encoding(path)
         return [pa.array([enc.decode_bytes(r) if r else b"" for r in rows], pa.binary())]
 
-    return with_arrow_columns(df, ids_col, [T.StructField(out_col, T.BinaryType())], fn)
+    return with_arrow_columns(df, ids_col, [T.StructField(out_col, T.BinaryType())], fn, keep)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -92,10 +124,4 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     path = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    done = decode(encode(docs, path), path)
-    return done.select(
-        "doc_id",
-        F.size("ids").cast("long").alias("n_tokens"),
-        F.sha2(F.concat_ws(",", F.col("ids").cast("array<string>")).cast("binary"), 256).alias("ids_sha256"),
-        F.sha2("decoded", 256).alias("decoded_sha256"),
-    )
+    return encode(docs, path, outputs=("n_tokens", "ids_sha256", "decoded_sha256"), keep=["doc_id"])

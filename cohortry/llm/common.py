@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 import zipfile
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from pathlib import Path
 
 import pyarrow as pa
@@ -22,25 +23,39 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def small_batches(spark: SparkSession) -> None:
-    """Bound what a Python worker holds at once."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+    """Bound what a Python worker holds at once, for the rest of the session: results are lazy, so the bounds must still
+    hold when they are computed. Smaller bounds of the caller's stay; -1 and 0 mean no bound to Spark."""
+    for key, most in (("maxRecordsPerBatch", BATCH_ROWS), ("maxBytesPerBatch", BATCH_BYTES)):
+        key = f"spark.sql.execution.arrow.{key}"
+        now = re.fullmatch(r"(\d+)b?", spark.conf.get(key).strip().lower())
+        if not now or not 0 < int(now[1]) <= most:
+            spark.conf.set(key, str(most))
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or one of our own where unset (tests)."""
-    return spark.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.gettempdir()}/checkpoints/cohortry"
+    """The folder that driver and executors share: spark.checkpoint.dir. Where it is unset, a local master (tests) gets
+    a folder of its own; on a cluster that folder would differ from machine to machine, so there it is an error."""
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if folder:
+        return folder
+    if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+        raise ValueError("spark.checkpoint.dir has to name a folder that all machines share")
+    return f"file://{tempfile.gettempdir()}/checkpoints/cohortry"
 
 
 _WRITTEN: list[str] = []
 
 
-def clean(spark: SparkSession) -> None:
-    """Delete what materialize() wrote in this process. Results that were not saved by then cannot be read any more."""
+def clean(spark: SparkSession, since: int = 0, keep: int = 0) -> None:
+    """Delete what materialize() wrote in this process after its first `since` tables, but for the last `keep`.
+
+    Results that were not saved by then cannot be read any more."""
     jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
-    while _WRITTEN:
-        path = jvm.org.apache.hadoop.fs.Path(_WRITTEN.pop())
+    end = len(_WRITTEN) - keep
+    for name in _WRITTEN[since:end]:
+        path = jvm.org.apache.hadoop.fs.Path(name)
         path.getFileSystem(conf).delete(path, True)
+    del _WRITTEN[since:end]
 
 
 def materialize(df: DataFrame, tag: str) -> DataFrame:
@@ -94,23 +109,24 @@ def fresh(df: DataFrame, name: str) -> str:
     return name
 
 
-def with_arrow_columns(df: DataFrame, source: str, out: list[T.StructField], fn: Callable[[list], list[pa.Array]]) -> DataFrame:
-    """df with further columns, computed batch by batch from one column.
+def with_arrow_columns(df: DataFrame, source: str, out: list[T.StructField], fn: Callable[[list], list[pa.Array]], keep: Iterable[str] | None = None) -> DataFrame:
+    """The columns `keep` of df (all by default) with further columns, computed batch by batch from one column.
 
-    fn gets the column's values as a list and returns an Arrow array for each new field.
-    Columns of df with a new field's name are replaced."""
+    fn gets the column's values as a list and returns an Arrow array for each new field. The source travels to Python
+    once, and back only if it is kept. Columns of df with a new field's name are replaced."""
     names = {f.name.lower() for f in out}
-    kept = [c for c in df.columns if c.lower() not in names]
-    slot = fresh(df, "__in")
+    kept = [c for c in (df.columns if keep is None else keep) if c.lower() not in names]
+    slot = source if source in kept else fresh(df, "__in")
+    sent = [F.col(f"`{c}`") for c in kept] + ([] if source in kept else [F.col(f"`{source}`").alias(slot)])
     schema = T.StructType([df.schema[c] for c in kept] + out)
-    n = len(kept)
+    n, at = len(kept), [*kept, slot].index(slot)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            cols = fn(batch.column(n).to_pylist())
+            cols = fn(batch.column(at).to_pylist())
             yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(n)), *cols], [f.name for f in schema])
 
-    return map_rows(df.select(*[F.col(f"`{c}`") for c in kept], F.col(f"`{source}`").alias(slot)), run, schema)
+    return map_rows(df.select(*sent), run, schema)
 
 
 def bounded_sample(df: DataFrame, key: Column, rows: int, stratum: Column | None = None) -> DataFrame:
