@@ -5,7 +5,7 @@ calibrated by one temperature on examples that training did not see."""
 
 from __future__ import annotations
 
-import re
+from collections.abc import Iterable
 from dataclasses import dataclass
 
 import numpy as np
@@ -17,13 +17,13 @@ from pyspark.sql import types as T
 from cohortry.llm.common import bounded_sample, held_out, table, with_arrow_columns
 
 UNKNOWN = "und"
-_LETTER = re.compile(r"[^\W\d_]")
 #: Features: hashed n-grams of 1 to 3 code points.
 BITS = 15
 
 
 def has_letter(text: str | None) -> bool:
-    return bool(text) and _LETTER.search(text) is not None
+    """Whether a character is a letter by its Unicode category; number signs such as Roman numerals are not."""
+    return bool(text) and any(map(str.isalpha, text))
 
 
 def grams(text: str) -> tuple[np.ndarray, np.ndarray]:
@@ -127,8 +127,8 @@ def fit(df: DataFrame, *, allowed: Column, text_col: str = "text", label_col: st
     return train([(r[0], r[1]) for r in picked.select(F.col(f"`{text_col}`"), F.col(f"`{label_col}`").cast("string")).collect()])
 
 
-def identify(df: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
-    """df with lang_pred and score (calibrated probability). Null texts and texts without a letter: `und`, 0.
+def identify(df: DataFrame, model: Model, text_col: str = "text", keep: Iterable[str] | None = None) -> DataFrame:
+    """The columns `keep` of df (all by default) with lang_pred and score (calibrated probability). Null texts and texts without a letter: `und`, 0.
 
     Each row is judged from its whole text alone; columns with the new names are replaced; an empty table stays empty."""
 
@@ -136,10 +136,10 @@ def identify(df: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
         got = [model.predict(t) for t in texts]
         return [pa.array([g[0] for g in got], pa.string()), pa.array([g[1] for g in got], pa.float64())]
 
-    return with_arrow_columns(df, text_col, [T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())], fn)
+    return with_arrow_columns(df, text_col, [T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())], fn, keep)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
     model = fit(docs, allowed=~held_out())
-    return identify(docs.select("doc_id", "text"), model).select("doc_id", held_out().alias("held_out"), "lang_pred", "score")
+    return identify(docs, model, keep=["doc_id"]).select("doc_id", held_out().alias("held_out"), "lang_pred", "score")
