@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cohortry.llm import neardup, packing, secrets, suffix, toxicity
-from cohortry.llm.common import held_out, materialize, table
+from cohortry.llm.common import clean, held_out, materialize, table, written
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
@@ -21,7 +21,7 @@ def stage_toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     """Keep the documents that the toxic-span model scores below 0.5; it learns from labelled rows outside the held-out fold."""
     docs = docs.select(*COLUMNS)
     model = toxicity.fit(docs, table(spark, sf_dir, "labels"), allowed=lambda i: ~held_out(i))
-    return toxicity.tag(docs, model).where("predicted = 0").select(*COLUMNS)
+    return toxicity.tag(docs, model, outputs=("predicted",)).where("predicted = 0").select(*COLUMNS)
 
 
 def stage_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -70,10 +70,14 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over documents, each written as Parquet and read again by the next."""
-    docs = table(spark, sf_dir, "documents")
+    """All stages over documents, each written as Parquet and read again by the next.
+
+    What a stage has written for itself is deleted once its result is written, and that once the next one's is. The last
+    stage's result is lazy: clean() deletes its tables when the result is saved."""
+    docs, since = table(spark, sf_dir, "documents"), written()
     for i, (name, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
         if i < len(STAGES) - 1:
             docs = materialize(docs, name)
+            clean(spark, since, keep=1)
     return docs
