@@ -46,6 +46,11 @@ def shared_dir(spark: SparkSession) -> str:
 _WRITTEN: list[str] = []
 
 
+def written() -> int:
+    """How many tables materialize() has written in this process and clean() has not deleted."""
+    return len(_WRITTEN)
+
+
 def clean(spark: SparkSession, since: int = 0, keep: int = 0) -> None:
     """Delete what materialize() wrote in this process after its first `since` tables, but for the last `keep`.
 
