@@ -28,8 +28,10 @@ from cohortry.llm.components import connected_components
 #: Bands x coordinates: at similarity 0.8 a pair shares no bucket with probability (1 - 0.8 ** 6) ** 40 < 6e-6.
 BANDS, ROWS = 40, 6
 BINS = BANDS * ROWS
-#: Bytes of full sets that one task holds on either side of a comparison.
-BLOCK = 16 << 20
+#: Bytes of full sets, and rows, that one task holds on either side of a comparison.
+BLOCK, BLOCK_ROWS = 16 << 20, 256
+#: Rows that meet one copy of a hub's set.
+FAN = 512
 _LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
 _K1, _K2, _K3 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 
@@ -135,17 +137,27 @@ def similar(x: bytes, y: bytes, percent: int) -> bool:
 
 
 def verify(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) whose full sets are similar enough."""
+    """The pairs (a, b) whose full sets are similar enough. b is a hub: its set goes once to every FAN or so of its pairs."""
+    hubs = pairs.groupBy("b").agg(F.ceil(F.count(F.lit(1)) / FAN).cast("int").alias("parts"))
+    hubs = materialize(hubs, "parts")
+    asks = pairs.join(hubs, "b").select("a", "b", F.pmod(F.hash("a"), "parts").alias("part")).join(sets.withColumnRenamed("id", "a"), "a")
+    held = hubs.join(sets.withColumnRenamed("id", "b"), "b").withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    rows = held.select("b", "part", F.lit(None).cast("long").alias("a"), "set").unionByName(asks.select("b", "part", "a", "set"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            ok = [similar(x, y, percent) for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)]
-            at = pa.array(np.flatnonzero(ok))
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(1).take(at)], ["a", "b"])
+        hub = b""
+        for batch in batches:  # sorted: a hub's set comes before the rows of its part
+            out: list[tuple[int, int]] = []
+            for b, a, own in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), batch.column(3), strict=True):
+                if a is None:
+                    hub = own.as_py()
+                elif similar(own.as_py(), hub, percent):
+                    out.append((a, b))
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in out], pa.int64()) for k in (0, 1)], ["a", "b"])
 
-    left = pairs.join(sets.select(F.col("id").alias("a"), F.col("set").alias("x")), "a")
-    both = left.join(sets.select(F.col("id").alias("b"), F.col("set").alias("y")), "b")
-    return materialize(map_rows(both.select("a", "b", "x", "y"), run, "a long, b long"), "links")
+    dealt = rows.repartition(partitions(rows.sparkSession), "b", "part").sortWithinPartitions("b", "part", F.col("a").asc_nulls_first())
+    return materialize(map_rows(dealt, run, "a long, b long"), "links")
 
 
 def clusters(members: DataFrame, comps: DataFrame) -> DataFrame:
@@ -160,12 +172,13 @@ def clusters(members: DataFrame, comps: DataFrame) -> DataFrame:
 def stray_links(rows: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Links (a, b) that join strays to other components of their cluster, at least one for each component they link with.
 
-    A cluster is cut into blocks of members and blocks of strays, so that a task holds one of each."""
+    A cluster is cut into blocks of members and blocks of strays, bounded in bytes and rows, so that a task holds one of
+    each and meets BLOCK_ROWS x BLOCK_ROWS pairs at most."""
     share = percent / 100
     floor = share - 6 * math.sqrt(share * (1 - share) / BINS)
     rows = materialize(rows, "clusters")
-    blocks = lambda c: F.greatest(F.ceil(F.sum(c) * 8 / BLOCK), F.lit(1)).cast("int")
-    sizes = rows.groupBy("main").agg(blocks("n").alias("ps"), blocks(F.when(F.col("stray"), F.col("n")).otherwise(0)).alias("qs"))
+    blocks = lambda n: F.greatest(F.ceil(F.coalesce(F.sum(n), F.lit(0)) * 8 / BLOCK), F.ceil(F.count(n) / BLOCK_ROWS), F.lit(1)).cast("int")
+    sizes = rows.groupBy("main").agg(blocks(F.col("n")).alias("ps"), blocks(F.when(F.col("stray"), F.col("n"))).alias("qs"))
     rows = rows.join(materialize(sizes, "sizes"), "main")
     p, q = F.pmod(F.hash("id"), "ps"), F.pmod(F.hash("id", F.lit(1)), "qs")
     cols = ["main", "id", "comp", "n"]
