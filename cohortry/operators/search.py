@@ -12,7 +12,7 @@ from collections.abc import Callable, Mapping
 from dataclasses import dataclass, field
 from datetime import datetime, timedelta, timezone
 from decimal import Decimal
-from urllib.parse import parse_qsl
+from urllib.parse import parse_qsl, urlencode
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -21,7 +21,7 @@ from cohortry.functions.strings import normalized, phonetic
 from cohortry.operators.lineage import cut
 
 PREFIX = re.compile(r"^(eq|ne|gt|lt|ge|le|sa|eb|ap)(.*)$", re.S)
-PAGE_SIZE, MAX_PAGE_SIZE, MAX_INCLUDES = 50, 10_000, 10_000
+PAGE_SIZE, MAX_PAGE_SIZE, MAX_INCLUDES, MAX_STACK = 50, 10_000, 10_000, 10
 
 
 class SearchError(ValueError):
@@ -36,6 +36,28 @@ def split_prefix(text: str) -> tuple[str, str]:
 # Values of parameters, parsed on the driver.
 
 
+def split_escaped(text: str, separator: str) -> list[str]:
+    """Parts between separators that no backslash escapes; escapes stay."""
+    parts, at = [""], 0
+    while at < len(text):
+        c = text[at]
+        if c == "\\" and at + 1 < len(text):
+            parts[-1] += text[at : at + 2]
+            at += 2
+            continue
+        if c == separator:
+            parts.append("")
+        else:
+            parts[-1] += c
+        at += 1
+    return parts
+
+
+def unescape(text: str) -> str:
+    """Text without the backslashes that escape a separator or a backslash."""
+    return re.sub(r"\\([,$|\\])", r"\1", text)
+
+
 def date_range(text: str) -> tuple[int, int]:
     """First and last second that a date text of any precision can mean, in UTC."""
     m = re.fullmatch(r"(\d{4})(?:-(\d{2})(?:-(\d{2})(?:T(\d{2}):(\d{2})(?::(\d{2})(?:\.\d+)?)?(Z|[+-]\d{2}:\d{2})?)?)?)?", text)
@@ -72,9 +94,12 @@ def half_unit(text: str) -> Decimal:
 
 @dataclass(frozen=True)
 class One:
-    """The value of a parameter that has one value at most: its tests are plain comparisons, which reach the scan."""
+    """The value of a parameter that has one value at most: its tests are plain comparisons, which reach the scan.
+
+    key (references): the target's id as the table has it, for joins and comparisons without a cast."""
 
     col: Column
+    key: Column | None = None
 
 
 def any_(values: Column | One, test: Callable[[Column], Column]) -> Column:
@@ -86,8 +111,9 @@ def any_(values: Column | One, test: Callable[[Column], Column]) -> Column:
 
 def token(values: Column | One, text: str) -> Column:
     """code | system|code | |code (no system) | system| (any code)."""
-    system, bar, code = text.rpartition("|")
-    if not bar:
+    *systems, code = split_escaped(text, "|")
+    system, code = unescape("|".join(systems)), unescape(code)
+    if not systems:
         return any_(values, lambda v: v["code"] == code)
     if not system:
         return any_(values, lambda v: v["system"].isNull() & (v["code"] == code))
@@ -157,7 +183,7 @@ def number(values: Column | One, text: str) -> Column:
 
 def quantity_test(text: str) -> Callable[[Column], Column]:
     """[prefix]value[|[system]|unit]: the unit is matched as a code of the system, or as code or unit without one."""
-    value, *unit = text.split("|")
+    value, *unit = map(unescape, split_escaped(text, "|"))
     test = _number_test(value)
     if not unit or not unit[-1]:
         return lambda v: test(v["value"])
@@ -174,6 +200,10 @@ def reference(values: Column | One, text: str, target: str | None = None) -> Col
     """Type/id, or an id alone."""
     type_, slash, id_ = text.rpartition("/")
     kind = type_.rpartition("/")[2] if slash else target
+    if isinstance(values, One) and values.key is not None:
+        # Integers are compared as such, so that the test reaches the scan; other texts name no row.
+        same = values.key == F.lit(int(id_)) if re.fullmatch(r"0|-?[1-9]\d{0,17}", id_) else F.lit(False)
+        return same & (values.col["type"] == kind) if kind else same
     if kind:
         return any_(values, lambda v: (v["type"] == kind) & (v["id"] == id_))
     return any_(values, lambda v: v["id"] == id_)
@@ -235,12 +265,14 @@ def instant(ts: Column, unit: str | None = None) -> One:
 class Param:
     """kind: token, string, date, number, quantity, reference, uri, near, phonetic or composite.
 
-    targets: types that a reference can have. parts (composite): kinds and names of the fields of an element."""
+    targets: types that a reference can have. parts (composite): kinds and names of the fields of an element.
+    identifier (reference): the identifier tokens of a reference, for `:identifier`."""
 
     kind: str
     values: Callable[[], Column | One]
     targets: tuple[str, ...] = ()
     parts: tuple[tuple[str, str], ...] = ()
+    identifier: Callable[[], Column | One] | None = None
 
 
 MODIFIERS = {"token": {"in"}, "reference": {"identifier"}, "uri": {"below"}}
@@ -248,7 +280,10 @@ MODIFIERS = {"token": {"in"}, "reference": {"identifier"}, "uri": {"below"}}
 
 @dataclass
 class Registry:
-    """tables: a DataFrame by type, with a column `id`. compartment: by type, the parameter that holds the subject."""
+    """tables: a DataFrame by type, with a column `id`. compartment: by type, the parameter that holds the subject.
+
+    native: by type, the column that holds the id as the keys of references do. at: the registry of another time t, of
+    the newest where t is None; t: the time that this one shows."""
 
     tables: Mapping[str, DataFrame]
     params: dict[str, dict[str, Param]]
@@ -256,6 +291,9 @@ class Registry:
     subject: str = "Patient"
     value_sets: Callable[[str], DataFrame] | None = None  # url -> (system, code)
     last_updated: dict[str, str] = field(default_factory=dict)  # by type, a timestamp column
+    native: dict[str, str] = field(default_factory=dict)
+    at: Callable[[int | None], Registry] | None = None
+    t: int | None = None
 
     def param(self, type_: str, code_: str) -> Param:
         if code_ == "_id":
@@ -277,20 +315,24 @@ class Registry:
         simple = {"token": token, "string": string, "date": date, "number": number, "quantity": quantity, "near": near, "phonetic": sounds_like}
         out = F.lit(False)
         for v in values:
-            if p.kind == "reference":
-                out = out | reference(cols, v, modifier or (p.targets[0] if len(p.targets) == 1 else None))
+            if p.kind == "reference" and modifier == "identifier":
+                if p.identifier is None:
+                    raise SearchError(f"{code_} of {type_} has no identifiers")
+                out = out | token(p.identifier(), v)
+            elif p.kind == "reference":
+                out = out | reference(cols, unescape(v), modifier or (p.targets[0] if len(p.targets) == 1 else None))
             elif p.kind == "uri":
-                out = out | uri(cols, v, modifier == "below")
+                out = out | uri(cols, unescape(v), modifier == "below")
             elif p.kind == "composite":
                 tests = []
-                for (kind, name_), text in zip(p.parts, v.split("$"), strict=True):
+                for (kind, name_), text in zip(p.parts, split_escaped(v, "$"), strict=True):
                     if kind == "token":
                         tests.append(lambda e, n=name_, t=text: token(One(e[n]) if isinstance(cols, One) else e[n], t))
                     else:
                         tests.append(lambda e, n=name_, q=quantity_test(text): q(e[n]))
                 out = out | composite(cols, *tests)
             else:
-                out = out | simple[p.kind](cols, v)
+                out = out | simple[p.kind](cols, v if p.kind in ("token", "quantity", "near") else unescape(v))
         return out
 
     def search(self, type_: str, clauses: list[tuple[str, list[str]]], lenient: bool = False) -> DataFrame:
@@ -325,17 +367,9 @@ class Registry:
             return df.join(members.select(F.col("ref_id").alias("id")).distinct(), "id", "left_semi")
         if name.startswith("_has:"):
             _, source, ref, rest = name.split(":", 3)
-            found = self.search(source, [(rest, values)])
-            ids = self.refs(found, source, ref).where(F.col("ref_type") == type_).select(F.col("ref_id").alias("id"))
-            return df.join(ids, "id", "left_semi")
+            return self._referred(df, type_, self.search(source, [(rest, values)]), source, ref)
         if name.endswith(":in"):
-            if self.value_sets is None:
-                raise SearchError("no value sets")
-            codes = self.value_sets(values[0]).select("system", "code").distinct()
-            values = self.param(type_, name[:-3]).values()
-            own = df.select("id", values.col.alias("c") if isinstance(values, One) else F.explode(values).alias("c")).select("id", F.col("c.system").alias("__s"), F.col("c.code").alias("__c"))
-            hits = own.join(codes, F.col("__s").eqNullSafe(F.col("system")) & (F.col("__c") == F.col("code")), "left_semi")
-            return df.join(hits.select("id"), "id", "left_semi")
+            return self._in_value_sets(df, self.param(type_, name[:-3]).values(), values)
         head, _, rest = name.partition(".")
         code_, _, target = head.partition(":")
         p = self.param(type_, code_)
@@ -343,9 +377,38 @@ class Registry:
         if not target:
             raise SearchError(f"the chain {name} needs a type")
         found = self.search(target, [(rest, values)])
+        ref = p.values()
+        if isinstance(ref, One):  # one semi-join of the table itself
+            native = ref.key is not None and target in self.native
+            found = found.select(F.col(self.native[target] if native else "id").alias("__ref"))
+            return df.join(found, (ref.col["type"] == target) & ((ref.key if native else ref.col["id"]) == F.col("__ref")), "left_semi")
         hop = self.refs(df, type_, code_).where(F.col("ref_type") == target).join(found.select(F.col("id").alias("ref_id")), "ref_id", "left_semi")
         return df.join(hop.select("id"), "id", "left_semi")
 
+    def _referred(self, df: DataFrame, type_: str, found: DataFrame, source: str, code_: str) -> DataFrame:
+        """Those of df that resources of a type refer to."""
+        ref = self.param(source, code_).values()
+        if isinstance(ref, One) and ref.key is not None and type_ in self.native:
+            ids = found.where(ref.col["type"] == type_).select(ref.key.alias("__ref"))
+            return df.join(ids, F.col(self.native[type_]) == F.col("__ref"), "left_semi")
+        ids = self.refs(found, source, code_).where(F.col("ref_type") == type_).select(F.col("ref_id").alias("id"))
+        return df.join(ids, "id", "left_semi")
+
+    def _in_value_sets(self, df: DataFrame, values: Column | One, urls: list[str]) -> DataFrame:
+        """Those of df with a code in one of the value sets."""
+        if self.value_sets is None:
+            raise SearchError("no value sets")
+        codes = None
+        for url in urls:
+            part = self.value_sets(url).select(F.col("system").alias("__s"), F.col("code").alias("__c"))
+            codes = part if codes is None else codes.union(part)
+        codes = codes.distinct()
+        same = lambda v: v["system"].eqNullSafe(F.col("__s")) & (v["code"] == F.col("__c"))
+        if isinstance(values, One):  # one semi-join of the table itself
+            return df.join(codes, same(values.col), "left_semi")
+        hits = df.select("id", F.explode(values).alias("__v")).join(codes, same(F.col("__v")), "left_semi")
+        return df.join(hits.select("id"), "id", "left_semi")
+
     def compartment_search(self, subject_id: str, type_: str, clauses: list[tuple[str, list[str]]] = ()) -> DataFrame:
         own = reference(self.param(type_, self.compartment[type_]).values(), f"{self.subject}/{subject_id}")
         return self.search(type_, list(clauses)).where(own)
@@ -383,45 +446,90 @@ class Registry:
     def rev_include(self, df: DataFrame, type_: str, spec: str) -> DataFrame:
         """Resources of `Source:param` that refer to the given ones."""
         source, code_, *_ = spec.split(":")
+        ref = self.param(source, code_).values()
+        if isinstance(ref, One):  # one semi-join of the table itself
+            native = ref.key is not None and type_ in self.native and self.native[type_] in df.columns
+            ids = df.select(F.col(self.native[type_]) if native else F.col("id").cast("string")).toDF("__ref")
+            return self.tables[source].join(ids, (ref.col["type"] == type_) & ((ref.key if native else ref.col["id"]) == F.col("__ref")), "left_semi")
         refs = self.refs(self.tables[source], source, code_).where(F.col("ref_type") == type_)
         hits = refs.join(df.select(F.col("id").cast("string").alias("ref_id")), "ref_id", "left_semi").select("id")
         return self.tables[source].join(hits, "id", "left_semi")
 
+    def includes(self, df: DataFrame, type_: str, direct: list[tuple[str, str]], iterate: list[tuple[str, str]]) -> DataFrame | None:
+        """(type, id) of what comes along with the matches, which are not among it.
+
+        Directives are (`_include` or `_revinclude`, spec). The iterated ones are applied to what has been found, again
+        and again, until nothing is new; each round visits the newly found only."""
+        matches = df.select(F.lit(type_).alias("type"), F.col("id").cast("string").alias("id"))
+
+        def step(frontier: DataFrame, directives: list[tuple[str, str]]) -> DataFrame | None:
+            out = None
+            for kind, spec in directives:
+                source, code_, *target = spec.split(":")
+                known = [source] if kind == "_include" else target or list(self.param(source, code_).targets)
+                for t in known:
+                    own = self.tables[t].join(frontier.where(F.col("type") == t).select("id"), "id", "left_semi")
+                    part = self._targets(own, source, code_, target) if kind == "_include" else self.rev_include(own, t, spec).select(F.lit(source).alias("type"), F.col("id").cast("string").alias("id"))
+                    out = part.select("type", F.col("id").cast("string").alias("id")) if out is None else out.union(part)
+            return out
+
+        found = step(matches, direct)
+        if found is None:
+            return None
+        found = frontier = cut(found.distinct())
+        while iterate and (more := step(frontier, iterate)) is not None:
+            frontier = cut(more.distinct().join(found, ["type", "id"], "left_anti"))
+            if frontier.isEmpty():
+                break
+            found = found.union(frontier)
+        return found.join(matches, ["type", "id"], "left_anti")
+
 
 @dataclass
 class Page:
-    """matches: the page's resources; next_id: where the next page starts; total: only if asked for; included: (type, id)."""
+    """matches: the page's resources; next_id: where the next page starts; total: only if asked for; included: (type, id).
+
+    next and previous give the query strings of the neighbouring pages (None at the ends), at the same time t."""
 
     matches: DataFrame
     next_id: Callable[[], object]
     total: int | None = None
     included: DataFrame | None = None
+    next: Callable[[], str | None] = lambda: None
+    previous: Callable[[], str | None] = lambda: None
+
+
+def _query(query: str, **changes: str | None) -> str:
+    """A query string with some of its parameters replaced, or left out."""
+    names = {f"__{k.replace('_', '-')}": v for k, v in changes.items()}
+    pairs = [(k, v) for k, v in parse_qsl(query, keep_blank_values=True) if k not in names]
+    return urlencode([*pairs, *((k, v) for k, v in names.items() if v is not None)])
 
 
 def search_page(reg: Registry, type_: str, query: str, sort_columns: dict[str, str] | None = None, lenient: bool = True) -> Page:
-    """Answer a query string: clauses, _sort, _count, _total, _summary=count, _elements, _include, _revinclude, __page-id."""
+    """Answer a query string: clauses, _sort, _count, _total, _summary, _elements, _include, _revinclude (also :iterate), and
+    where a page starts (__page-id or, if sorted, __page-offset; __page-stack has the starts of the pages before it).
+
+    All pages of a search show one time: __t, or the registry's newest."""
     clauses, result = parse_query(query)
+    if reg.at is not None:
+        reg = reg.at(int(result["__t"][0]) if "__t" in result else None)
     found = reg.search(type_, clauses, lenient)
     size = min(int(result.get("_count", [str(PAGE_SIZE)])[0]), MAX_PAGE_SIZE)
     count_only = size == 0 or result.get("_summary") == ["count"]
     total = found.count() if count_only or result.get("_total") == ["accurate"] else None
     if count_only:
         return Page(found.limit(0), lambda: None, total)
-    if "_sort" in result and result["_sort"][0] != "_id":
-        offset = int(result.get("__page-offset", ["0"])[0])
-        rows, following = sort(found, result["_sort"][0], sort_columns or {}).offset(offset).limit(size), lambda: None
+    by_offset = "_sort" in result and result["_sort"][0] != "_id"
+    start = result.get("__page-offset" if by_offset else "__page-id", [""])[0]
+    if by_offset:
+        rows, following = offset_page(sort(found, result["_sort"][0], sort_columns or {}), size, int(start or 0))
     else:
-        rows, following = page(found, size, result.get("__page-id", [None])[0])
-    included = None
-    for name, specs in result.items():
-        for spec in specs:
-            if name.startswith("_include"):
-                part = reg.include(rows, type_, spec, name.endswith(":iterate"))
-            elif name.startswith("_revinclude"):
-                part = reg.rev_include(rows, type_, spec).select(F.lit(spec.split(":")[0]).alias("type"), F.col("id").cast("string").alias("id"))
-            else:
-                continue
-            included = part if included is None else included.unionByName(part).distinct()
+        if "_sort" in result:
+            sort(found, result["_sort"][0], {})  # refuses what it cannot do
+        rows, following = page(found, size, start or None)
+    split = lambda suffix: [(n.partition(":")[0], s) for n, specs in result.items() if n.startswith(("_include", "_revinclude")) and n.endswith(":iterate") == suffix for s in specs]
+    included = reg.includes(rows, type_, split(False), split(True))
     if included is not None and included.limit(MAX_INCLUDES + 1).count() > MAX_INCLUDES:
         if size == 1:
             raise SearchError(f"more than {MAX_INCLUDES} included resources")
@@ -429,17 +537,28 @@ def search_page(reg: Registry, type_: str, query: str, sort_columns: dict[str, s
         return search_page(reg, type_, smaller.lstrip("&"), sort_columns, lenient)
     if "_elements" in result:
         rows = rows.select("id", *[F.col(c) for c in result["_elements"][0].split(",") if c in rows.columns and c != "id"])
-    return Page(rows, following, total, included)
+    stack = split_escaped(result["__page-stack"][0], ",") if "__page-stack" in result else []
+    here = "page_offset" if by_offset else "page_id"
+    pinned = {"t": None if reg.t is None else str(reg.t)}
+
+    def next_query() -> str | None:
+        to = following()
+        return None if to is None else _query(query, **pinned, **{here: str(to)}, page_stack=",".join([*stack, start.replace("\\", "\\\\").replace(",", "\\,")][-MAX_STACK:]))
+
+    def previous_query() -> str | None:
+        return _query(query, **pinned, **{here: unescape(stack[-1]) or None}, page_stack=",".join(stack[:-1]) if len(stack) > 1 else None) if stack else None
+
+    return Page(rows, following, total, included, next_query, previous_query)
 
 
 def parse_query(query: str) -> tuple[list[tuple[str, list[str]]], dict[str, list[str]]]:
-    """Clauses, and result parameters (_sort, _count, _include, _revinclude, _summary, _elements, _total)."""
+    """Clauses, and result parameters (_sort, _count, _include, _revinclude, _summary, _elements, _total, where a page starts)."""
     clauses, result = [], {}
     for name, value in parse_qsl(query, keep_blank_values=True):
-        if name in ("_sort", "_count", "_summary", "_elements", "_total", "__page-id", "__page-offset") or name.startswith(("_include", "_revinclude")):
+        if name in ("_sort", "_count", "_summary", "_elements", "_total", "__page-id", "__page-offset", "__page-stack", "__t") or name.startswith(("_include", "_revinclude")):
             result.setdefault(name, []).append(value)
         else:
-            clauses.append((name, value.split(",")))
+            clauses.append((name, split_escaped(value, ",")))
     if len(result.get("_sort", [])) > 1 or any("," in s for s in result.get("_sort", [])):
         raise SearchError("more than one sort parameter")
     return clauses, result
@@ -471,5 +590,11 @@ def page(df: DataFrame, size: int = PAGE_SIZE, from_id=None) -> tuple[DataFrame,
     return ahead.orderBy("id").limit(size), next_id
 
 
+def offset_page(df: DataFrame, size: int = PAGE_SIZE, offset: int = 0) -> tuple[DataFrame, Callable[[], object]]:
+    """A page of a sorted DataFrame, and a function that gives the offset of the next one (None at the end)."""
+    rows = df.offset(offset).limit(size)
+    return rows, lambda: offset + size if not df.offset(offset + size).limit(1).isEmpty() else None
+
+
 def explain(df: DataFrame) -> str:
     return df._jdf.queryExecution().explainString(df.sparkSession._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("formatted"))

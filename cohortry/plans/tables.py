@@ -34,7 +34,11 @@ class Lazy(Mapping):
 
 
 def _ref(kind: str, column: str):
-    return lambda: One(F.struct(F.lit(kind).alias("type"), F.col(column).cast("string").alias("id")))
+    return lambda: One(F.struct(F.lit(kind).alias("type"), F.col(column).cast("string").alias("id")), F.col(column))
+
+
+#: The columns that hold the ids of types whose references are compared without a cast.
+NATIVE = {"Customer": "c_custkey", "Order": "o_orderkey", "Event": "event_id", "Part": "p_partkey", "Supplier": "s_suppkey", "Nation": "n_nationkey", "Region": "r_regionkey"}
 
 
 def registry(spark: SparkSession, sf_dir: str) -> Registry:
@@ -65,7 +69,7 @@ def registry(spark: SparkSession, sf_dir: str) -> Registry:
             "date": Param("date", lambda: instant(F.col("o_orderdate"), "day")),
             "period": Param("date", lambda: instant(F.col("o_orderdate"), "month")),
             "total": Param("number", lambda: One(F.col("o_totalprice").cast("decimal(28,8)"))),
-            "subject": Param("reference", _ref("Customer", "o_custkey"), ("Customer",)),
+            "subject": Param("reference", _ref("Customer", "o_custkey"), ("Customer",), identifier=lambda: code(F.concat(F.lit("C-"), F.col("o_custkey").cast("string")), "urn:customers")),
         },
         "LineItem": {
             "flag": Param("token", lambda: code(F.col("l_returnflag"))),
@@ -100,7 +104,7 @@ def registry(spark: SparkSession, sf_dir: str) -> Registry:
     }
     # Part types are plain codes in the parts' table; the code system names its own.
     expand = lambda url: terminology(spark, sf_dir).expand(url).withColumn("system", F.when(F.col("system") != "part-type", F.col("system")))
-    return Registry(named, params, {"Order": "subject", "Event": "subject"}, "Customer", expand, {"Event": "ts", "Order": "o_orderdate"})
+    return Registry(named, params, {"Order": "subject", "Event": "subject"}, "Customer", expand, {"Event": "ts", "Order": "o_orderdate"}, NATIVE)
 
 
 def terminology(spark: SparkSession, sf_dir: str) -> Terminology:
@@ -120,6 +124,7 @@ def terminology(spark: SparkSession, sf_dir: str) -> Terminology:
         "world": ValueSet("world", (Include("geo", filters=(Filter("concept", "is-a", "W"),)),), (Include("geo", codes=("R0", "N0")),)),
         "even-asia": ValueSet("even-asia", (Include("geo", filters=(Filter("parity", "=", "even"),), value_sets=("asia",)),)),
         "brands": ValueSet("brands", (Include("brand", filters=(Filter("code", "regex", "Brand#1[0-9]"),)), Include("brand", codes=("Brand#2", "Brand#3"))), (Include("brand", codes=("Brand#12",)),)),
+        "promo": ValueSet("promo", (Include("part-type", codes=("PROMO", "SMALL")),)),
         "types": ValueSet("types", (Include("part-type", codes=("ECONOMY", "STANDARD", "PROMO")),)),
     }
     return Terminology(concepts, edges, properties, sets)
