@@ -9,7 +9,11 @@ their chunk and again in their bucket, so a passage in very many documents reach
 In a bucket, the suffixes whose offsets fall into the difference cover are ranked first, by prefix doubling. Then all
 suffixes are sorted by their first V bytes, and ties are resolved by the ranks of the cover samples that both suffixes
 of a comparison reach at the same shift below V. Neighbours in that order with a common prefix of `length` bytes form
-a class; all but its first suffix in corpus order start a repeat."""
+a class; all but its first suffix in corpus order start a repeat.
+
+The number of buckets follows the input's size. An anchor so frequent that its suffixes would not be sorted at once is
+split: the suffixes at STEP neighbouring distances before it form a group, keyed also by the bytes that all strings of
+the group have in common, which is all but STEP - 1 of them. Equal strings have the same distance and the same bytes."""
 
 from __future__ import annotations
 
@@ -19,6 +23,8 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute  # noqa: F401
+import xxhash
+import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -30,6 +36,8 @@ from cohortry.llm.common import map_rows, materialize, partitions, table
 V, COVER = 31, (1, 5, 11, 24, 25, 27)
 #: Bytes of an anchor; bytes of text in a chunk; suffixes sorted at once.
 ANCHOR, CHUNK, SUFFIXES = 24, 2 << 20, 1 << 18
+#: Bytes of input to a bucket; occurrences from which an anchor is split, and into groups of how many distances.
+BUCKET, FREQUENT, STEP = 8 << 20, 3000, 11
 #: Suffixes of one document whose anchors are found at once.
 SEGMENT = 1 << 20
 _A, _B, _C = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0x165667B19E3779F9)
@@ -153,16 +161,18 @@ def repeats(text: np.ndarray, at: np.ndarray, length: int) -> np.ndarray:
 
 
 def pack_arrays(*arrays: np.ndarray) -> bytes:
-    sink = pa.BufferOutputStream()
-    batch = pa.RecordBatch.from_arrays([pa.array([a.tobytes()], pa.large_binary()) for a in arrays], [f"a{i}" for i in range(len(arrays))])
-    with pa.ipc.new_stream(sink, batch.schema, options=pa.ipc.IpcWriteOptions(compression=pa.Codec("zstd", 1))) as out:
-        out.write_batch(batch)
-    return sink.getvalue().to_pybytes()
+    """The arrays' sizes and bytes; compressed if there are enough of them. The first byte says which."""
+    body = np.array([a.nbytes for a in arrays], np.int64).tobytes() + b"".join(a.tobytes() for a in arrays)
+    return b"z" + zstandard.compress(body, 1) if len(body) > 512 else b"p" + body
 
 
 def unpack_arrays(blob: bytes, *types: type) -> list[np.ndarray]:
-    batch = pa.ipc.open_stream(blob).read_next_batch()
-    return [np.frombuffer(batch.column(i)[0].as_py(), t) for i, t in enumerate(types)]
+    body = zstandard.decompress(blob[1:]) if blob[:1] == b"z" else blob[1:]
+    at, out = 8 * len(types), []
+    for t, n in zip(types, np.frombuffer(body, np.int64, len(types)).tolist(), strict=True):
+        out.append(np.frombuffer(body[at : at + n], t))
+        at += n
+    return out
 
 
 def chunked(df: DataFrame, text_col: str) -> DataFrame:
@@ -207,7 +217,7 @@ def _texts(t: pa.Table, text_col: str) -> list[np.ndarray]:
 
 
 def anchor_counts(chunks: DataFrame, text_col: str, length: int, buckets: int) -> DataFrame:
-    """(bucket, chunk, hashes): the distinct anchors of a chunk, with those first that it holds at two places."""
+    """(bucket, chunk, many, hashes): the distinct anchors of a chunk, with those first that it holds at several places; many: at how many."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -221,73 +231,86 @@ def anchor_counts(chunks: DataFrame, text_col: str, length: int, buckets: int) -
                 h, n = np.unique(np.concatenate(found) if found else np.zeros(0, np.uint64), return_counts=True)
                 b = (h % np.uint64(buckets)).astype(np.int64)
                 order = np.lexsort((n < 2, b))
-                h, n, b = h[order], n[order], b[order]
-                ends = np.searchsorted(b, np.arange(buckets + 1))
-                use = [i for i in range(buckets) if ends[i] < ends[i + 1]]
-                twice = [int((n[ends[i] : ends[i + 1]] > 1).sum()) for i in use]
-                data = [h[ends[i] : ends[i + 1]].tobytes() for i in use]
-                yield pa.RecordBatch.from_arrays([pa.array(use, pa.int32()), pa.array([chunk] * len(use), pa.int64()), pa.array(twice, pa.int32()), pa.array(data, pa.binary())], ["bucket", "chunk", "twice", "hashes"])
+                h, n, b = h[order], n[order].astype(np.int32), b[order]
+                ends = [*np.flatnonzero(np.append(True, b[1:] != b[:-1])).tolist(), len(b)] if len(b) else [0]
+                cut = list(zip(ends, ends[1:], strict=False))
+                many = [(lambda x: x[x > 1].tobytes())(n[s:e]) for s, e in cut]
+                yield pa.RecordBatch.from_arrays([pa.array([int(b[s]) for s, _ in cut], pa.int32()), pa.array([chunk] * len(cut), pa.int64()), pa.array(many, pa.binary()), pa.array([h[s:e].tobytes() for s, e in cut], pa.binary())], ["bucket", "chunk", "many", "hashes"])
 
-    return map_rows(chunks, run, "bucket int, chunk long, twice int, hashes binary")
+    return map_rows(chunks, run, "bucket int, chunk long, many binary, hashes binary")
 
 
 def shared_anchors(counts: DataFrame) -> DataFrame:
-    """(chunk, shared): those anchors of a chunk that occur at two places of the corpus or more."""
+    """(chunk, shared, frequent): those anchors of a chunk that occur at two places of the corpus or more, and at FREQUENT or more."""
+    limit = FREQUENT
 
     def run(t: pa.Table) -> pa.Table:
         parts = [np.frombuffer(b, np.uint64) for b in t.column("hashes").to_pylist()]
         h = np.concatenate(parts)
-        twice = np.concatenate([np.arange(len(p)) < k for p, k in zip(parts, t.column("twice").to_pylist(), strict=True)])
-        order = np.argsort(h, kind="stable")
-        s = h[order]
-        same = np.zeros(len(s), bool)
-        same[1:] = s[1:] == s[:-1]
-        many = same.copy()
-        many[:-1] |= same[1:]
-        hit = np.empty(len(h), bool)
-        hit[order] = many
-        hit |= twice
-        at, chunks, data = 0, [], []
+        n = np.ones(len(h), np.int64)
+        at = 0
+        for p, b in zip(parts, t.column("many").to_pylist(), strict=True):
+            m = np.frombuffer(b, np.int32)
+            n[at : at + len(m)] = m
+            at += len(p)
+        _, inv = np.unique(h, return_inverse=True)
+        total = np.bincount(inv, weights=n).astype(np.int64)[inv] if len(h) else n
+        at, chunks, data, often = 0, [], [], []
         for p, c in zip(parts, t.column("chunk").to_pylist(), strict=True):
-            got = p[hit[at : at + len(p)]]
+            k = total[at : at + len(p)]
             at += len(p)
-            if len(got):
+            if (k > 1).any():
                 chunks.append(c)
-                data.append(got.tobytes())
-        return pa.table({"chunk": pa.array(chunks, pa.int64()), "shared": pa.array(data, pa.binary())})
+                data.append(p[k > 1].tobytes())
+                often.append(p[k >= limit].tobytes())
+        return pa.table({"chunk": pa.array(chunks, pa.int64()), "shared": pa.array(data, pa.binary()), "frequent": pa.array(often, pa.binary())})
 
-    return counts.groupBy("bucket").applyInArrow(run, "chunk long, shared binary")
+    return counts.groupBy("bucket").applyInArrow(run, "chunk long, shared binary, frequent binary")
 
 
 _STRETCH = (np.int64, np.int32, np.int64, np.int32, np.uint64, np.uint8)
 
 
+def split_run(data: bytes, start: int, n: int, anchor: int, at: int, length: int, step: int) -> Iterator[tuple[int, int, int]]:
+    """(start, suffixes, key) of the groups of a run whose anchor, at offset `at`, is frequent."""
+    far = length - ANCHOR
+    for d in range((at - start - n + 1) // step * step, at - start + 1, step):
+        last = min(d + step - 1, far)
+        first, end = max(start, at - last), min(start + n - 1, at - d) + 1
+        yield first, end - first, xxhash.xxh3_64_intdigest(data[at - d : at - last + length], seed=(anchor + d) & (1 << 64) - 1)
+
+
 def stretches(chunks: DataFrame, shared: DataFrame, id_col: str, text_col: str, length: int, buckets: int) -> DataFrame:
     """(bucket, chunk, kind, data): candidate stretches by bucket (kind 0); repeats known within the chunk (kind 1)."""
+    step = STEP
 
     def run(_key, left: pa.Table, right: pa.Table) -> pa.Table:
         out = {"bucket": [], "chunk": [], "kind": [], "data": []}
         if len(left) and len(right):
             hot = np.unique(np.concatenate([np.frombuffer(b, np.uint64) for b in right.column("shared").to_pylist()]))
+            often = set(np.concatenate([np.frombuffer(b, np.uint64) for b in right.column("frequent").to_pylist()]).tolist())
             chunk, rows = left.column("chunk")[0].as_py(), _rows(left.column("rows")[0].as_py())
             ids = [(i is None, i or 0) for i in rows.column(id_col).to_pylist()]
             texts = _texts(rows, text_col)
             seen: set[bytes] = set()
             local, mine = [], []
             for k in sorted(range(len(ids)), key=lambda k: (ids[k], k)):
-                start, n, h, _ = anchors(texts[k], length)
+                start, n, h, at = anchors(texts[k], length)
                 data = texts[k].tobytes()
                 for i in np.flatnonzero(hot[np.minimum(np.searchsorted(hot, h), len(hot) - 1)] == h):
-                    s, m = int(start[i]), int(n[i])
-                    piece = data[s : s + m + length - 1]
-                    if piece in seen:
-                        local.append((k, s, m))
-                    else:
-                        seen.add(piece)
-                        mine.append((k, s, m, int(h[i]), piece))
+                    s, m, a = int(start[i]), int(n[i]), int(h[i])
+                    for s, m, key in split_run(data, s, m, a, int(at[i]), length, step) if a in often else ((s, m, a),):  # noqa: PLW2901
+                        piece = data[s : s + m + length - 1]
+                        if piece in seen:
+                            local.append((k, s, m))
+                        else:
+                            seen.add(piece)
+                            mine.append((k, s, m, key, piece))
             by = np.array([x[3] % buckets for x in mine], np.int64)
-            for b in np.unique(by):
-                some = [mine[i] for i in np.flatnonzero(by == b)]
+            order = np.argsort(by, kind="stable")
+            edges = np.flatnonzero(np.append(True, by[order][1:] != by[order][:-1])).tolist() if mine else []
+            for e, f in zip(edges, [*edges[1:], len(mine)], strict=True):
+                b, some = by[order[e]], [mine[i] for i in order[e:f].tolist()]
                 who = np.array([np.iinfo(np.int64).max if ids[x[0]][0] else ids[x[0]][1] for x in some], np.int64)
                 cols = (who, *(np.array([x[j] for x in some], t) for j, t in enumerate(_STRETCH[1:5])), np.frombuffer(b"".join(x[4] for x in some), np.uint8))
                 out["bucket"].append(int(b)), out["chunk"].append(chunk), out["kind"].append(0), out["data"].append(pack_arrays(*cols))
@@ -395,8 +418,8 @@ def remove_repeats(df: DataFrame, *, length: int = 100, id_col: str = "doc_id",
     cols = [c for c in df.columns if c == text_col or c.lower() not in taken]
     df = df.select(*[F.col(f"`{c}`") for c in cols])
     spark = df.sparkSession
-    buckets = partitions(spark)
     chunks = materialize(chunked(df, text_col), "chunks")
+    buckets = max(partitions(spark), chunks.count() * CHUNK // BUCKET)
     shared = materialize(shared_anchors(anchor_counts(chunks, text_col, length, buckets)), "anchors")
     work = stretches(chunks, shared, id_col, text_col, length, buckets)
     found = found_repeats(work, length)
