@@ -216,6 +216,24 @@ def time(hour, minute=None, second=None, milli=None) -> Column:
     return F.when(fine, F.struct(ms.alias("ms"), p.alias("p")))
 
 
+def _time_at(a: Column, b: Column) -> tuple[Column, Column, Column]:
+    """Both times of day cut to their common precision, and whether the precisions are one."""
+    p = F.least(a["p"], b["p"])
+    unit = F.when(p == 4, F.lit(3_600_000)).when(p == 5, F.lit(60_000)).when(p == 6, F.lit(1000)).otherwise(F.lit(1))
+    return a["ms"] - a["ms"] % unit, b["ms"] - b["ms"] % unit, a["p"] == b["p"]
+
+
+def time_less(a: Column, b: Column) -> Column:
+    """Null where the times agree as far as both are known, and one is known further."""
+    x, y, same = _time_at(a, b)
+    return F.when(x != y, x < y).when(same, F.lit(False))
+
+
+def time_equal(a: Column, b: Column) -> Column:
+    x, y, same = _time_at(a, b)
+    return F.when(x != y, F.lit(False)).when(same, F.lit(True))
+
+
 def to_string(v: Column) -> Column:
     patterns = {1: "yyyy", 2: "yyyy-MM", 3: "yyyy-MM-dd", 4: "yyyy-MM-dd'T'HH", 5: "yyyy-MM-dd'T'HH:mm", 6: "yyyy-MM-dd'T'HH:mm:ss", 7: "yyyy-MM-dd'T'HH:mm:ss.SSS"}
 

@@ -1,19 +1,23 @@
 """Cohort query language to DataFrame plans.
 
 All definitions of a library become columns of one plan: each resource type is scanned once and aggregated once by
-subject. `exists` and `Count` over one type become flags and counts with map-side partial aggregation; other retrieves
-become arrays per subject (a subject's own resources), on which queries run as higher-order functions. Definitions that
-nobody asks for are never computed. Lists of the Unfiltered context are joined, never collected."""
+subject. `exists` and `Count` over one type become flags and counts with map-side partial aggregation, `with` and
+`without` semi- and anti-joins of rows; other retrieves become arrays per subject (a subject's own resources), of the rows
+that pass their conditions. Definitions that nobody asks for are never computed. Lists of the Unfiltered context are
+joined or aggregated, never collected."""
 
 from __future__ import annotations
 
+import datetime
+import re
 from collections.abc import Callable
 from dataclasses import dataclass, field
+from decimal import Decimal
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cohortry.functions import arithmetic, convert, intervals, lists, quantity, strings, temporal
+from cohortry.functions import aggregates, arithmetic, convert, intervals, lists, quantity, strings, temporal
 from cohortry.functions.logic import let
 from cohortry.operators.search import One
 from cohortry.plans.cql_parser import CqlError, Library, parse
@@ -23,19 +27,24 @@ from cohortry.plans.cql_parser import CqlError, Library, parse
 class Type:
     """A resource type: rows, the column that names the subject, and its elements.
 
-    elements: name -> (column, kind). codes: search parameter -> column of array<struct<system, code>>."""
+    elements: name -> (column, kind). codes: search parameter -> column of array<struct<system, code>>. contexts: by other
+    types, the column with the id of the resource of that type to which a row belongs."""
 
     df: DataFrame
     subject: Column | None
     elements: dict[str, tuple[Column, str]]
     codes: dict[str, Column | One] = field(default_factory=dict)
+    contexts: dict[str, Column] = field(default_factory=dict)
 
 
 @dataclass
 class Model:
+    """value_sets, code_systems: url -> (system, code)."""
+
     types: dict[str, Type]
     subject: str = "Patient"
     value_sets: Callable[[str], DataFrame] | None = None
+    code_systems: Callable[[str], DataFrame] | None = None
 
 
 @dataclass
@@ -65,9 +74,13 @@ class Compiler:
             if p not in self.lib.parameters:
                 raise CqlError(f"unknown parameter {p}")
         self.names = self._names()
-        self.aggs: dict[str, dict[str, Column]] = {}  # by type: name -> aggregate over its rows
-        self.tests: dict[str, list[Column]] = {}  # by type: which rows an aggregate counts, for each of them
-        self.joins: dict[str, list[tuple[str, Column, DataFrame]]] = {}  # by type: flag, key, members
+        self.context = model.subject
+        # By type and whose rows they are (None: the subject's own, else a key): name -> aggregate over those rows.
+        self.aggs: dict[tuple[str, str | None], dict[str, Column]] = {}
+        self.tests: dict[tuple[str, str | None], list[Column]] = {}  # which rows an aggregate counts, for each of them
+        self.keys: dict[str, tuple[Column, Column]] = {}  # by key: its column in the plan, and that of the rows
+        self.joins: dict[str, list[Callable[[DataFrame], DataFrame]]] = {}  # by type: what adds a flag to its rows
+        self.flags: list[Callable[[DataFrame], DataFrame]] = []  # what adds a flag to the plan
         self.open: list[str] = []
 
     def _names(self) -> set[str]:
@@ -88,7 +101,34 @@ class Compiler:
 
     def _struct(self, type_: str) -> Column:
         t = self.model.types[type_]
-        return F.struct(*[c.alias(n) for n, (c, _) in t.elements.items() if n in self.names])
+        own = [c.alias(n) for n, (c, _) in t.elements.items() if n in self.names]
+        return F.struct(*own, *[c.alias(f"__to_{n}") for n, c in t.contexts.items() if n in self.names])
+
+    def _flag(self, joins: list[Callable[[DataFrame], DataFrame]], key: Column, members: DataFrame, same: Callable[[Column], Column]) -> Column:
+        """A column that is true where members (their columns have names of their own) match the key."""
+        flag = f"__in{sum(map(len, self.joins.values())) + len(self.flags)}"
+        own = F.col(f"{flag}_key")  # a name that members have not
+        joins.append(lambda df: df.withColumn(f"{flag}_key", key).withColumn(flag, members.where(same(own.outer())).exists()).drop(f"{flag}_key"))
+        return F.col(flag)
+
+    def _member(self, type_: str | None, key: Column, kind: str, codes: DataFrame) -> Column:
+        """Whether a code (a text, a code, or a list of codes) is among codes (system, code). type_: of the row, None for the subject."""
+        joins = self.flags if type_ is None else self.joins.setdefault(type_, [])
+        members = codes.select(F.col("system").alias("__s"), F.col("code").alias("__c")).distinct()
+        if kind == "String":
+            return self._flag(joins, key, members, lambda k: F.col("__c") == k)
+        if kind == "Code":
+            return self._flag(joins, key, members, lambda k: (F.col("__c") == k["code"]) & F.col("__s").eqNullSafe(k["system"]))
+        flag = f"__in{sum(map(len, self.joins.values())) + len(self.flags)}"
+
+        def add(df: DataFrame) -> DataFrame:  # a list can have several members: the lists that have one, then the rows
+            df = df.withColumn(f"{flag}_key", key)
+            pairs = df.select(f"{flag}_key", F.explode(f"{flag}_key").alias("c")).join(members, F.col("c.system").eqNullSafe(F.col("__s")) & (F.col("c.code") == F.col("__c")), "left_semi")
+            lists_ = pairs.select(F.col(f"{flag}_key").alias("__k")).distinct()
+            return df.withColumn(flag, lists_.where(F.col("__k") == F.col(f"{flag}_key").outer()).exists()).drop(f"{flag}_key")
+
+        joins.append(add)
+        return F.col(flag)
 
     def _code_test(self, type_: str, prop: str | None, codes: tuple | None, env: dict) -> Column:
         if codes is None:
@@ -100,10 +140,8 @@ class Compiler:
         if codes[0] == "ref" and codes[1] in self.lib.valuesets:
             if self.model.value_sets is None:
                 raise CqlError("no terminology")
-            members = self.model.value_sets(self.lib.valuesets[codes[1]]).select(F.col("system").alias("__s"), F.col("code").alias("__c")).distinct()
-            flag = f"__in{len(self.joins.setdefault(type_, []))}"
-            self.joins[type_].append((flag, F.array(col.col) if isinstance(col, One) else col, members))
-            return F.col(flag)
+            own, kind = (col.col, "Code") if isinstance(col, One) else (col, "List<Code>")
+            return self._member(type_, own, kind, self.model.value_sets(self.lib.valuesets[codes[1]]))
         wanted = self._static_codes(codes)
         if isinstance(col, One):
             return _any([(col.col["code"] == v) if s is None else (col.col["system"] == s) & (col.col["code"] == v) for s, v in wanted])
@@ -124,12 +162,12 @@ class Compiler:
             return self._static_codes(self.lib.defines[e[1]][1])
         raise CqlError("codes of a retrieve have to be static")
 
-    def _agg(self, type_: str, col: Column, prefix: str, test: Column) -> Column:
-        own = self.aggs.setdefault(type_, {})
-        self.tests.setdefault(type_, []).append(test)
-        name = f"__{prefix}_{type_}_{len(own)}"
+    def _agg(self, type_: str, col: Column, prefix: str, test: Column, key: str | None = None) -> Column:
+        own = self.aggs.setdefault((type_, key), {})
+        self.tests.setdefault((type_, key), []).append(test)
+        name = f"__{prefix}_{type_}_{key or ''}_{len(own)}"
         own[name] = col
-        return F.col(name)
+        return F.col(f"`{name}`")
 
     # Expressions.
 
@@ -139,24 +177,39 @@ class Compiler:
         if name not in self.lib.defines:
             raise CqlError(f"unknown expression {name}")
         self.open.append(name)
+        before, self.context = self.context, self.lib.defines[name][0]
         try:
             return self.expr(self.lib.defines[name][1], {})
         finally:
             self.open.pop()
+            self.context = before
 
     def parameter(self, name: str) -> V:
         kind, default = self.lib.parameters[name]
         if name in self.parameters:
-            x = self.parameters[name]
-            if isinstance(x, (list, tuple)):
-                raise CqlError(f"unsupported value of parameter {name}")
-            if isinstance(x, str) and kind in TEMPORAL:
-                return V(temporal.parse(x), "Date")
-            if not isinstance(x, (bool, int, float, str)):
-                raise CqlError(f"unsupported value of parameter {name}")
-            return V(F.lit(x), {bool: "Boolean", int: "Integer", float: "Decimal", str: "String"}[type(x)])
+            return self._value(name, self.parameters[name], kind or "")
         return V(F.lit(None), "Any") if default is None else self.expr(default, {})
 
+    def _value(self, name: str, x: object, kind: str) -> V:
+        """A value from outside: booleans, numbers, texts, dates, codes (system and code), and lists and tuples of them."""
+        if isinstance(x, (list, tuple)):
+            items = [self._value(name, y, item_kind(kind) if kind.startswith("List<") else kind) for y in x]
+            return V(F.array(*[i.col for i in items]), f"List<{items[0].kind if items else 'Any'}>")
+        if isinstance(x, dict):
+            if set(x) <= {"system", "code"} and "code" in x:
+                return V(F.struct(F.lit(x.get("system")).cast("string").alias("system"), F.lit(x["code"]).alias("code")), "Code")
+            parts = {n: self._value(name, y, "") for n, y in x.items()}
+            return V(F.struct(*[v.col.alias(n) for n, v in parts.items()]), "Tuple", {n: v.kind for n, v in parts.items()})
+        if isinstance(x, str) and kind in TEMPORAL:
+            return V(temporal.parse(x), "Date")
+        if isinstance(x, datetime.date):
+            return V(temporal.parse(x.isoformat()), "Date")
+        if isinstance(x, Decimal) or kind == "Decimal" and isinstance(x, (int, float)) and not isinstance(x, bool):
+            return V(F.lit(str(x)).cast("decimal(28,8)"), "Decimal")
+        if not isinstance(x, (bool, int, float, str)):
+            raise CqlError(f"unsupported value of parameter {name}")
+        return V(F.lit(x), {bool: "Boolean", int: "Integer", float: "Decimal", str: "String"}[type(x)])
+
     def expr(self, e: tuple, env: dict) -> V:
         fn = getattr(self, f"_{e[0]}", None) or _OPERATORS.get(e[0])
         if fn is None:
@@ -209,8 +262,10 @@ class Compiler:
         if name in self.lib.defines:
             if env.get("$rowonly") and self.lib.defines[name][0] != "Unfiltered":
                 raise _NeedsSubject
-            if self.lib.defines[name][0] == "Unfiltered":
+            if self.lib.defines[name][0] == "Unfiltered" and self._is_list(self.lib.defines[name][1]):
                 return V(F.lit(None), "Unfiltered:" + name)
+            if self.context == "Unfiltered" and self.lib.defines[name][0] != "Unfiltered":
+                return V(F.lit(None), "Subjects:" + name)
             return self.define(name)
         raise CqlError(f"unknown name {name}")
 
@@ -236,7 +291,11 @@ class Compiler:
             return V(lists.filter_(flat, lambda x: x.isNotNull()), f"List<{probe.kind}>")
         if src.kind == "Quantity":
             return V(src.col[name], "Decimal" if name == "value" else "String")
-        if src.kind in ("Code", "Reference", "Tuple"):
+        if src.kind == "Tuple":
+            return V(src.col[name], (src.static or {}).get(name, "String"))
+        if src.kind == "Ratio":
+            return V(src.col[name], "Quantity")
+        if src.kind in ("Code", "Reference"):
             return V(src.col[name], "String")
         if src.kind == "Concept":
             if name == "coding":
@@ -257,7 +316,17 @@ class Compiler:
         return V(F.array(*[i.col for i in items]), f"List<{kind}>")
 
     def _tuple(self, e, env):
-        return V(F.struct(*[self.expr(x, env).col.alias(n) for n, x in e[1]]), "Tuple")
+        parts = {n: self.expr(x, env) for n, x in e[1]}
+        return V(F.struct(*[v.col.alias(n) for n, v in parts.items()]), "Tuple", {n: v.kind for n, v in parts.items()})
+
+    def _instance(self, e, env):
+        parts = {n: self.expr(x, env) for n, x in e[2]}
+        get = lambda n: parts[n].col if n in parts else F.lit(None).cast("string")
+        if e[1] == "Code":
+            return V(F.struct(get("system").alias("system"), get("code").alias("code")), "Code")
+        if e[1] == "Quantity":
+            return V(quantity.quantity(get("value").cast("decimal(28,8)"), get("unit")), "Quantity")
+        return V(F.struct(*[v.col.alias(n) for n, v in parts.items()]), "Tuple", {n: v.kind for n, v in parts.items()})
 
     def _interval(self, e, env):
         lo, hi = self.expr(e[1], env), self.expr(e[2], env)
@@ -301,6 +370,8 @@ class Compiler:
             one = lambda v: v.col if v.kind == "Quantity" else quantity.quantity(v.col.cast("decimal(28,8)"))
             fn = {"=": quantity.equal, "~": quantity.equivalent, "<": quantity.less, ">": quantity.greater, "<=": quantity.less_or_equal, ">=": quantity.greater_or_equal}[op]
             return fn(one(a), one(b)) if "Any" not in kinds else F.lit(None).cast("boolean")
+        if kinds == {"Time"}:
+            return {"=": temporal.time_equal, "~": lambda x, y: x.eqNullSafe(y), "<": temporal.time_less, ">": lambda x, y: temporal.time_less(y, x), "<=": lambda x, y: ~temporal.time_less(y, x), ">=": lambda x, y: ~temporal.time_less(x, y)}[op](a.col, b.col)
         if kinds <= {"Code", "Concept", "List<Code>", "String"} and kinds != {"String"}:
             return self._codes_equal(a, b)
         x, y = a.col, b.col
@@ -327,45 +398,163 @@ class Compiler:
             raise CqlError(f"unknown type {type_}")
         if env.get("$rowonly"):
             raise _NeedsSubject
+        if self.context == "Unfiltered":
+            raise CqlError("lists of the Unfiltered context can be counted, asked for members, or aggregated")
+        key = None
         if context is not None:
-            raise CqlError("retrieves in the context of another expression are not supported")
-        if type_ == self.model.subject:
+            key = self._related(type_, context)
+        elif type_ != self.model.subject and type_ in self.model.types[self.model.subject].contexts:
+            key = f"to {type_}"  # what the subject belongs to
+            self.keys[key] = (F.col("__subject")[f"__to_{type_}"], self.model.types[type_].elements["id"][0])
+        elif type_ == self.model.subject:
             return V(F.array(F.col("__subject")), f"List<Row:{type_}>")
+        if key is None and self.model.types[type_].subject is None:
+            raise CqlError(f"{type_} does not belong to {self.model.subject}")
         test = self._code_test(type_, prop, codes, env)
-        return V(F.coalesce(self._agg(type_, F.collect_list(F.when(test, self._struct(type_))), "rows", test), F.array()), f"List<Row:{type_}>")
+        return V(F.coalesce(self._agg(type_, F.collect_list(F.when(test, self._struct(type_))), "rows", test, key), F.array()), f"List<Row:{type_}>")
+
+    def _related(self, type_: str, context: str) -> str:
+        """The key of the rows that belong to the resource that another definition gives."""
+        if context not in self.lib.defines:
+            raise CqlError(f"unknown expression {context}")
+        x, key = self.define(context), f"of {context} {type_}"
+        if not x.kind.startswith("Row:"):
+            raise CqlError(f"{context} is no resource")
+        other, t = x.kind[4:], self.model.types[type_]
+        if other == self.model.subject and t.subject is not None:
+            self.keys[key] = (x.col["id"], t.subject)
+        elif other in t.contexts:
+            self.keys[key] = (x.col["id"], t.contexts[other])
+        elif type_ in self.model.types[other].contexts:
+            self.keys[key] = (x.col[f"__to_{type_}"], t.elements["id"][0])
+        else:
+            raise CqlError(f"{type_} does not belong to {other}")
+        return key
 
-    def _row_test(self, source: tuple, alias: str | None, relations: list, where: tuple | None) -> tuple[str, Column] | None:
-        """(type, condition) of a retrieve with a condition on its own rows only."""
-        while source[0] == "paren":
-            source = source[1]
-        if source[0] != "retrieve" or source[1] == self.model.subject or relations or source[4] is not None or source[1] not in self.model.types:
-            return None
-        test = self._code_test(source[1], source[2], source[3], {})
-        if where is not None:
-            t = self.model.types[source[1]]
-            env = {alias: V(F.struct(*[c.alias(n) for n, (c, _) in t.elements.items() if n in self.names]), f"Row:{source[1]}"), "$rowonly": source[1]}
-            try:
-                test = test & self.expr(where, env).col.cast("boolean")
-            except _NeedsSubject:
+    # Rows of one type that a condition on themselves, or on other rows of the same subject, selects.
+
+    def _source(self, e: tuple) -> tuple[str, Column] | None:
+        """(type, condition) of a retrieve, or of a query over one that returns its rows."""
+        while e[0] == "paren":
+            e = e[1]
+        if e[0] == "retrieve":
+            _, type_, prop, codes, context = e
+            whole = self.context == "Unfiltered"
+            if type_ not in self.model.types or context is not None or not whole and (type_ == self.model.subject or self.model.types[type_].subject is None):
                 return None
-        return source[1], test
+            return type_, self._code_test(type_, prop, codes, {})
+        if e[0] == "query" and e[5] is None:
+            return self._query_rows(e)
+        if e[0] == "ref" and e[1] in self.lib.defines and self.lib.defines[e[1]][0] == self.context and e[1] not in self.open:
+            return self._source(self.lib.defines[e[1]][1])
+        return None
+
+    def _query_rows(self, e: tuple) -> tuple[str, Column] | None:
+        """Of a query, whatever it returns: `with` and `without` are semi- and anti-joins, as flags that share one scan."""
+        _, source, alias, relations, where, *_ = e
+        base = self._source(source)
+        if base is None:
+            return None
+        type_, test = base
+        try:
+            for kind, other, name, cond in relations:
+                found = self._relation_flag(type_, alias, other, name, cond)
+                if found is None:
+                    return None
+                test = test & (found if kind == "with" else ~found)
+            if where is not None:
+                test = test & self.expr(where, {alias: V(self._struct(type_), f"Row:{type_}"), "$rowonly": type_}).col.cast("boolean")
+        except _NeedsSubject:
+            return None
+        return type_, test
 
-    def _fused(self, e: tuple, env: dict) -> tuple[str, Column] | None:
+    def _relation_flag(self, type_: str, alias: str, other: tuple, name: str, cond: tuple) -> Column | None:
+        t, before = self.model.types[type_], {k: len(v) for k, v in self.joins.items()}
+        found = self._source(other)
+        if found is None or t.subject is None or self.model.types[found[0]].subject is None:
+            return None
+        kind, test = found
+        o, flags = self.model.types[kind], self.joins.get(kind, [])[before.get(kind, 0) :]
+        flag = f"__in{sum(map(len, self.joins.values())) + len(self.flags)}"  # its columns have names that the other rows have not
+        env = {alias: V(F.col(f"{flag}_row").outer(), f"Row:{type_}"), name: V(F.col("__orow"), f"Row:{kind}"), "$rowonly": type_, "$pair": True}
+        same = (F.col("__osubject") == F.col(f"{flag}_of").outer()) & self.expr(cond, env).col.cast("boolean")
+        rows = self._rows(kind, flags).where(test).select(o.subject.alias("__osubject"), self._struct(kind).alias("__orow"))
+        own = {f"{flag}_of": t.subject, f"{flag}_row": self._struct(type_)}
+        self.joins.setdefault(type_, []).append(lambda df: df.withColumns(own).withColumn(flag, rows.where(same).exists()).drop(*own))
+        return F.col(flag)
+
+    def _fused(self, e: tuple, env: dict, count: bool = False) -> tuple[str, Column] | None:
+        """What exists (count: Count) of a list comes down to: (type, condition)."""
         if env:
             return None
         while e[0] == "paren":
             e = e[1]
-        if e[0] == "retrieve":
-            return self._row_test(e, None, [], None)
-        if e[0] == "query":
-            return self._row_test(e[1], e[2], e[3], e[4])
-        if e[0] == "ref" and e[1] in self.lib.defines and self.lib.defines[e[1]][0] != "Unfiltered" and e[1] not in self.open:
-            return self._fused(self.lib.defines[e[1]][1], env)
-        return None
+        if e[0] == "ref" and e[1] in self.lib.defines and self.lib.defines[e[1]][0] == self.context and e[1] not in self.open:
+            return self._fused(self.lib.defines[e[1]][1], env, count)
+        if e[0] != "query" or e[5] is None:
+            return self._source(e)
+        if count and e[6]:  # distinct values
+            return None
+        found = self._query_rows(e)
+        if found is None:
+            return None
+        try:
+            value = self.expr(e[5], {e[2]: V(self._struct(found[0]), f"Row:{found[0]}"), "$rowonly": found[0]})
+        except _NeedsSubject:
+            return None
+        return found[0], found[1] & value.col.isNotNull()
+
+    def _is_list(self, e: tuple) -> bool:
+        while e[0] == "paren":
+            e = e[1]
+        return e[0] in ("retrieve", "query", "list") or e[0] == "ref" and e[1] in self.lib.defines and self._is_list(self.lib.defines[e[1]][1])
+
+    def _relation(self, e: tuple, env: dict) -> tuple[DataFrame, str] | None:
+        """(values as column v, kind) of a list that belongs to no subject: one of the Unfiltered context, or a definition over all subjects."""
+        while e[0] == "paren":
+            e = e[1]
+        if env or e[0] == "ref" and e[1] not in self.lib.defines:
+            return None
+        if e[0] == "ref":
+            context, tree = self.lib.defines[e[1]]
+            if context != "Unfiltered":
+                if self.context != "Unfiltered":
+                    return None
+                other = Compiler(self.model, self.lib, self.parameters, self.now)
+                kind = other.define(e[1]).kind
+                other = Compiler(self.model, self.lib, self.parameters, self.now)
+                rows = other.plan([e[1]]).select(F.col(f"`{e[1]}`").alias("v"))
+                return (rows.select(F.explode("v").alias("v")), item_kind(kind)) if kind.startswith("List<") else (rows, kind)
+            before, self.context = self.context, "Unfiltered"
+            try:
+                return self._relation(tree, {}) if self._is_list(tree) else None
+            finally:
+                self.context = before
+        if self.context != "Unfiltered" or e[0] not in ("retrieve", "query"):
+            return None
+        found = self._query_rows(e) if e[0] == "query" else self._source(e)
+        if found is None:
+            raise CqlError("a list of the Unfiltered context is a query over one type")
+        row = V(self._struct(found[0]), f"Row:{found[0]}")
+        value = row if e[0] == "retrieve" or e[5] is None else self.expr(e[5], {e[2]: row, "$rowonly": found[0]})
+        out = self._rows(found[0]).where(found[1]).select(value.col.alias("v"))
+        return (out.distinct() if e[0] == "query" and e[5] is not None and e[6] else out), value.kind
+
+    def values(self, name: str) -> DataFrame:
+        """(v) the values of a list definition of the Unfiltered context, as rows."""
+        found = self._relation(("ref", name), {}) if name in self.lib.defines and self.lib.defines[name][0] == "Unfiltered" else None
+        if found is None:
+            raise CqlError(f"{name} is no list of the Unfiltered context")
+        return found[0]
 
     def _query(self, e, env):
         _, source, alias, relations, where, returned, distinct, sort = e
-        src = self.expr(source, env)
+        found = None if env else self._query_rows(e)
+        if found is not None and self.context != "Unfiltered":  # rows are selected before they are gathered by subject
+            rows = F.coalesce(self._agg(found[0], F.collect_list(F.when(found[1], self._struct(found[0]))), "rows", found[1]), F.array())
+            src, relations, where = V(rows, f"List<Row:{found[0]}>"), [], None
+        else:
+            src = self.expr(source, env)
         single = not src.kind.startswith("List<")
         kind = src.kind if single else item_kind(src.kind)
         items = F.array_compact(F.array(src.col)) if single else src.col
@@ -415,22 +604,31 @@ class Compiler:
 
     def _call(self, e, env):
         name, args = e[1], e[2]
+        if len(args) == 1 and name in _OVER_ROWS and (found := self._relation(args[0], env)) is not None:
+            rows, kind = found
+            fn, out = _OVER_ROWS[name]
+            return V(rows.agg(fn(F.col("v"))).scalar(), out or kind)
         if name in ("Exists", "exists"):
             fused = self._fused(args[0], env)
             if fused:
                 return V(F.coalesce(self._agg(fused[0], F.some(fused[1]), "flag", fused[1]), F.lit(False)), "Boolean")
             return V(lists.exists(self.expr(args[0], env).col), "Boolean")
         if name == "Count":
-            fused = self._fused(args[0], env) if args[0][0] in ("retrieve", "paren", "ref") or args[0][0] == "query" and args[0][5] is None else None
+            fused = self._fused(args[0], env, True)
             if fused:
                 return V(F.coalesce(self._agg(fused[0], F.count_if(fused[1]), "count", fused[1]), F.lit(0)), "Integer")
         if (name, len(args)) in self.lib.functions:
             names, body = self.lib.functions[name, len(args)]
             return self.expr(body, {**env, **{n: self.expr(a, env) for n, a in zip(names, args, strict=True)}})
-        if name in ("AgeInYears", "AgeInMonths", "AgeInDays", "AgeInYearsAt", "AgeInMonthsAt", "AgeInDaysAt"):
-            birth = self._ref(("ref", self.model.subject), env)
-            at = self.expr(args[0], env).col if name.endswith("At") else temporal.parse(F.lit(self.now[:10]))
-            return V(temporal.duration_between(birth.col["birthDate"], at, name[5:].removesuffix("At").lower()[:-1]), "Integer")
+        if m := re.fullmatch(r"(?:Calculate)?AgeIn(Year|Month|Week|Day|Hour|Minute|Second)s(At)?", name):
+            args = list(args)
+            birth = self.expr(args.pop(0), env).col if name.startswith("Calculate") else self._ref(("ref", self.model.subject), env).col["birthDate"]
+            at = self.expr(args[0], env).col if m[2] else temporal.parse(F.lit(self.now if m[1] in ("Hour", "Minute", "Second") else self.now[:10]))
+            if m[1] == "Week":
+                return V(arithmetic.truncated_divide(temporal.duration_between(birth, at, "day"), F.lit(7)), "Integer")
+            return V(temporal.duration_between(birth, at, m[1].lower()), "Integer")
+        if name == "TimeOfDay":
+            return V(convert.to_time(F.lit((self.now[11:] or "00:00:00")[:12])), "Time")
         if name == "Today":
             return V(temporal.parse(F.lit(self.now[:10])), "Date")
         if name == "Now":
@@ -443,32 +641,24 @@ class Compiler:
 
     def membership(self, x: V, name: str, env: dict) -> V:
         """x in a list of the Unfiltered context: a join of the rows' table with the list's values."""
+        if env.get("$pair"):
+            raise _NeedsSubject
         type_ = env.get("$rowonly")
-        if not type_:
-            raise CqlError(f"{name} can be used in conditions of exists and Count")
-        _, source, alias, relations, where, returned, *_ = self.lib.defines[name][1]
-        test = self._row_test(source, alias, relations, where)
-        if test is None or returned is None:
-            raise CqlError(f"{name} has to be a query over one type with a return")
-        t = self.model.types[test[0]]
-        row = V(F.struct(*[c.alias(n) for n, (c, _) in t.elements.items() if n in self.names]), f"Row:{test[0]}")
-        members = self._rows(test[0]).where(test[1]).select(self.expr(returned, {alias: row}).col.alias("__m")).distinct()
-        flag = f"__in{len(self.joins.setdefault(type_, []))}"
-        self.joins[type_].append((flag, x.col, members))
-        return V(F.col(flag), "Boolean")
+        found = self._relation(("ref", name), {})
+        if found is None:
+            raise CqlError(f"{name} is no list")
+        members = found[0].select(F.col("v").alias("__m")).distinct()
+        joins = self.joins.setdefault(type_, []) if type_ else self.flags
+        if env and not type_:
+            raise CqlError(f"{name} can be used in conditions of exists and Count, and on subjects")
+        return V(self._flag(joins, x.col, members, lambda k: F.col("__m") == k), "Boolean")
 
     # Plans.
 
-    def _rows(self, type_: str) -> DataFrame:
-        t = self.model.types[type_]
-        df = t.df
-        for flag, key, members in self.joins.get(type_, []):
-            if len(members.columns) == 2:  # codes: a row can have several
-                df = df.withColumn(f"{flag}_key", key)
-                pairs = df.select(f"{flag}_key", F.explode(f"{flag}_key").alias("c")).join(members, (F.col("c.system").eqNullSafe(F.col("__s"))) & (F.col("c.code") == F.col("__c")), "left_semi").select(F.col(f"{flag}_key").alias("__k")).distinct()
-                df = df.join(pairs, F.col(f"{flag}_key") == F.col("__k"), "left").withColumn(flag, F.col("__k").isNotNull()).drop("__k")
-            else:
-                df = df.join(members, key == F.col("__m"), "left").withColumn(flag, F.col("__m").isNotNull()).drop("__m")
+    def _rows(self, type_: str, flags: list[Callable[[DataFrame], DataFrame]] | None = None) -> DataFrame:
+        df = self.model.types[type_].df
+        for add in self.joins.get(type_, []) if flags is None else flags:
+            df = add(df)
         return df
 
     def plan(self, names: list[str]) -> DataFrame:
@@ -476,10 +666,14 @@ class Compiler:
         cols = [self.define(n).col.alias(n) for n in names]
         s = self.model.types[self.model.subject]
         base = s.df.select(s.elements["id"][0].alias("__id"), self._struct(self.model.subject).alias("__subject"))
-        for type_, aggs in self.aggs.items():
-            rows = self._rows(type_).where(_any(self.tests[type_]))  # rows that no aggregate counts are not shuffled
-            per = rows.groupBy(self.model.types[type_].subject.alias("__ref")).agg(*[a.alias(n) for n, a in aggs.items()])
-            base = base.join(per, F.col("__id") == F.col("__ref"), "left").drop("__ref")
+        # The subjects' own rows first: keys of other resources' rows can depend on them.
+        for (type_, key), aggs in sorted(self.aggs.items(), key=lambda x: (x[0][1] is not None, list(self.keys).index(x[0][1]) if x[0][1] else 0)):
+            rows = self._rows(type_).where(_any(self.tests[type_, key]))  # rows that no aggregate counts are not shuffled
+            own, ref = (F.col("__id"), self.model.types[type_].subject) if key is None else self.keys[key]
+            per = rows.groupBy(ref.alias("__ref")).agg(*[a.alias(n) for n, a in aggs.items()])
+            base = base.join(per, own == F.col("__ref"), "left").drop("__ref")
+        for add in self.flags:
+            base = add(base)
         return base.select(F.col("__id").alias("id"), *cols)
 
     def rows_plan(self, define: str, functions: list[str]) -> DataFrame:
@@ -567,15 +761,17 @@ def _points(self: Compiler, v: V) -> V:
 def _timing(self: Compiler, e, env) -> V:
     op, a_, b_, precision = e
     a = self.expr(a_, env)
-    b = self.expr(b_, env) if not (b_[0] == "ref" and b_[1] in self.lib.valuesets) else None
+    b = self.expr(b_, env) if not (b_[0] == "ref" and b_[1] in (*self.lib.valuesets, *self.lib.codesystems)) else None
     if op in ("in", "includedin") and b is None:
-        codes = self.model.value_sets(self.lib.valuesets[b_[1]])
-        if not env.get("$rowonly"):
-            raise CqlError("value sets can be asked for in retrieves and in conditions of exists")
-        flag = f"__in{len(self.joins.setdefault(env['$rowonly'], []))}"
-        keys = a.col if a.kind in ("Concept", "List<Code>") else F.array(a.col)
-        self.joins[env["$rowonly"]].append((flag, keys, codes.select(F.col("system").alias("__s"), F.col("code").alias("__c")).distinct()))
-        return V(F.col(flag), "Boolean")
+        if env.get("$pair"):
+            raise _NeedsSubject
+        if env and not env.get("$rowonly"):
+            raise CqlError("value sets and code systems can be asked for in retrieves, in conditions of exists and Count, and on subjects")
+        source = self.model.value_sets if b_[1] in self.lib.valuesets else self.model.code_systems
+        if source is None:
+            raise CqlError("no terminology")
+        codes = source((self.lib.valuesets.get(b_[1]) or self.lib.codesystems[b_[1]]))
+        return V(self._member(env.get("$rowonly"), a.col, a.kind if a.kind in ("String", "Code") else "List<Code>", codes), "Boolean")
     if op == "in" and b.kind.startswith("Unfiltered:"):
         return self.membership(a, b.kind[11:], env)
     if b.kind.startswith("List<") or a.kind.startswith("List<"):
@@ -684,11 +880,78 @@ def _list_fn(fn, kind=None):
     return lambda self, a, *rest: V(fn(a.col, *[r.col for r in rest]), kind or item_kind(a.kind))
 
 
+#: Aggregates over the values of a list that belongs to no subject, and the kind of the result (None: that of the values).
+_OVER_ROWS: dict[str, tuple[Callable[[Column], Column], str | None]] = {
+    "Exists": (lambda v: F.count(v) > 0, "Boolean"),
+    "exists": (lambda v: F.count(v) > 0, "Boolean"),
+    "Count": (aggregates.count, "Integer"),
+    "Sum": (F.sum, None),
+    "Min": (F.min, None),
+    "Max": (F.max, None),
+    "Avg": (aggregates.avg, "Decimal"),
+    "Median": (aggregates.median, "Decimal"),
+    "Mode": (aggregates.mode, None),
+    "Product": (aggregates.product, "Decimal"),
+    "GeometricMean": (aggregates.geometric_mean, "Decimal"),
+    "Variance": (aggregates.variance, "Decimal"),
+    "StdDev": (aggregates.stddev, "Decimal"),
+    "PopulationVariance": (aggregates.population_variance, "Decimal"),
+    "PopulationStdDev": (aggregates.population_stddev, "Decimal"),
+    "AllTrue": (lambda v: F.coalesce(F.every(v), F.lit(True)), "Boolean"),
+    "AnyTrue": (lambda v: F.coalesce(F.some(v), F.lit(False)), "Boolean"),
+}
+
+
+def _sum(self: Compiler, a: V) -> V:
+    """Of quantities: in the unit of the first, null if a unit does not convert."""
+    if item_kind(a.kind) == "Quantity":
+        sized = lambda q: F.struct(q["value"].cast("decimal(28,8)").alias("value"), q["unit"].cast("string").alias("unit"))
+        items = F.transform(F.filter(a.col, lambda q: q["value"].isNotNull()), sized)
+        return V(F.reduce(F.slice(items, 2, F.greatest(F.size(items), F.lit(1))), F.get(items, F.lit(0)), lambda x, y: sized(quantity.add(x, y))), "Quantity")
+    return V(lists.sum_(a.col, "long" if item_kind(a.kind) == "Integer" else "decimal(28,8)"), item_kind(a.kind))
+
+
+def _flatten(self: Compiler, a: V) -> V:
+    """Lists of any depth; items that are no lists stay."""
+    inner = item_kind(a.kind)
+    return _flatten(self, V(F.flatten(a.col), inner)) if inner.startswith("List<") else a
+
+
+def _converts(kind: str) -> Callable[..., V]:
+    own = {"Date": ("Date",), "DateTime": ("Date",), "Quantity": ("Quantity",), "Time": ("Time",), "Ratio": ("Ratio",)}
+
+    def run(self: Compiler, a: V) -> V:
+        if a.kind in own.get(kind, ()):
+            return V(F.when(a.col.isNotNull(), F.lit(True)), "Boolean")
+        if kind == "String":
+            known = a.kind in ("Boolean", "Integer", "Long", "Decimal", "String", "Date", "Time", "Quantity", "Ratio")
+            return V(F.when(a.col.isNotNull(), F.lit(known)), "Boolean")
+        if a.kind in ("Date", "Time", "Quantity", "Ratio", "Code", "Concept", "Tuple") or "<" in a.kind or ":" in a.kind:
+            return V(F.when(a.col.isNotNull(), F.lit(False)), "Boolean")
+        return V(convert.converts_to(a.col, kind), "Boolean")
+
+    return run
+
+
 _FUNCTIONS: dict[str, Callable[..., V]] = {
     "First": _list_fn(lists.first),
     "Last": _list_fn(lists.last),
     "Count": _list_fn(lists.count, "Integer"),
-    "Sum": lambda self, a: V(lists.sum_(a.col, "long" if item_kind(a.kind) == "Integer" else "decimal(28,8)"), item_kind(a.kind)),
+    "Sum": _sum,
+    "Slice": lambda self, a, s, e=None: V(lists.slice_(a.col, s.col, e.col if e else None), a.kind),
+    "Skip": lambda self, a, n: V(lists.slice_(a.col, n.col), a.kind),
+    "Tail": lambda self, a: V(lists.slice_(a.col, F.lit(1)), a.kind),
+    "Take": lambda self, a, n: V(lists.slice_(a.col, F.lit(0), F.coalesce(n.col, F.lit(0))), a.kind),
+    "ToList": lambda self, a: V(lists.to_list(a.col), f"List<{a.kind}>"),
+    "ToChars": lambda self, a: V(strings.to_chars(a.col), "List<String>"),
+    "ToLong": lambda self, a: V(convert.to_long(a.col), "Integer"),
+    "ToTime": lambda self, a: a if a.kind == "Time" else V(convert.to_time(a.col), "Time"),
+    "Time": lambda self, *a: V(temporal.time(*[x.col for x in a]), "Time"),
+    "ToRatio": lambda self, a: a if a.kind == "Ratio" else V(convert.to_ratio(a.col), "Ratio"),
+    "ConvertQuantity": lambda self, a, u: V(quantity.convert(a.col, u.static), "Quantity"),
+    "CanConvertQuantity": lambda self, a, u: V(F.when(a.col.isNotNull(), F.coalesce(quantity.can_convert(a.col, u.static), F.lit(False))), "Boolean"),
+    "Children": lambda self, a: V(F.when(a.col.isNotNull(), F.array(a.col["code"], F.lit(None).cast("string"), a.col["system"], F.lit(None).cast("string"))), "List<String>"),
+    "Descendents": lambda self, a: V(F.when(a.col.isNotNull(), F.array(a.col["code"], F.lit(None).cast("string"), a.col["system"], F.lit(None).cast("string"))), "List<String>"),
     "Avg": lambda self, a: V(lists.avg(a.col), "Decimal"),
     "Min": _list_fn(lists.min_),
     "Max": _list_fn(lists.max_),
@@ -703,7 +966,7 @@ _FUNCTIONS: dict[str, Callable[..., V]] = {
     "PopulationVariance": _list_fn(lists.population_variance, "Decimal"),
     "PopulationStdDev": _list_fn(lists.population_stddev, "Decimal"),
     "Distinct": lambda self, a: V(lists.distinct(a.col), a.kind),
-    "Flatten": lambda self, a: V(F.flatten(a.col), item_kind(a.kind)),
+    "Flatten": _flatten,
     "SingletonFrom": _list_fn(lists.singleton_from),
     "IndexOf": _list_fn(lists.index_of, "Integer"),
     "Length": lambda self, a: V(F.coalesce(F.size(a.col), F.lit(0)) if a.kind.startswith("List<") else strings.length(a.col), "Integer"),
@@ -718,7 +981,6 @@ _FUNCTIONS: dict[str, Callable[..., V]] = {
     "Coalesce": lambda self, *a: V(F.coalesce(*[x.col for x in a]) if len(a) > 1 else F.get(F.array_compact(a[0].col), F.lit(0)), a[0].kind if len(a) > 1 else item_kind(a[0].kind)),
     "Date": lambda self, *a: V(temporal.construct(*[x.col for x in a]), "Date"),
     "DateTime": lambda self, *a: V(temporal.construct(*[x.col for x in a[:7]]), "Date"),
-    "CalculateAgeInYearsAt": lambda self, a, b: V(temporal.duration_between(a.col, b.col, "year"), "Integer"),
     "Abs": lambda self, a: V(arithmetic.absolute(a.col), a.kind),
     "Ceiling": lambda self, a: V(arithmetic.ceiling(a.col), "Integer"),
     "Floor": lambda self, a: V(arithmetic.floor(a.col), "Integer"),
@@ -747,8 +1009,7 @@ _FUNCTIONS: dict[str, Callable[..., V]] = {
     "ToDateTime": lambda self, a: a if a.kind == "Date" else V(convert.to_datetime(a.col), "Date"),
     "ToQuantity": lambda self, a: a if a.kind == "Quantity" else V(convert.to_quantity(a.col), "Quantity"),
     "ToConcept": lambda self, a: a if a.kind == "Concept" else V(F.array(a.col), "Concept"),
-    "ToCode": lambda self, a: a,
-    "ToInterval": lambda self, a: a,
-    "ConvertsToInteger": lambda self, a: V(convert.converts_to(a.col, "Integer"), "Boolean"),
-    "ConvertsToDecimal": lambda self, a: V(convert.converts_to(a.col, "Decimal"), "Boolean"),
+    "ToCode": lambda self, a: V(F.get(a.col, F.lit(0)), "Code") if a.kind in ("Concept", "List<Code>") else a,
+    "ToInterval": lambda self, a: a if a.kind.startswith("Interval<") else _points(self, a),
+    **{f"ConvertsTo{k}": _converts(k) for k in ("Boolean", "Date", "DateTime", "Decimal", "Long", "Integer", "Quantity", "Ratio", "String", "Time")},
 }

@@ -71,7 +71,15 @@ def tree(e: dict) -> tuple:
             source = ("property", source, name)
         return source
     if t == "Retrieve":
-        return ("retrieve", local(e["dataType"]), e.get("codeProperty"), tree(e["codes"]) if "codes" in e else None, None)
+        context = e.get("context")
+        if context is not None and context["type"] != "ExpressionRef":
+            raise CqlError("the context of a retrieve is another expression")
+        return ("retrieve", local(e["dataType"]), e.get("codeProperty"), tree(e["codes"]) if "codes" in e else None, context["name"] if context else None)
+    if t in ("InValueSet", "InCodeSystem"):
+        ref = e.get("valueset") or e["codesystem"]
+        return ("in", tree(e["code"]), ("ref", ref["name"]), None)
+    if t == "Instance":
+        return ("instance", local(e["classType"]), [(x["name"], tree(x["value"])) for x in e.get("element", [])])
     if t == "Query":
         if len(e["source"]) > 1:
             raise CqlError("queries have one source")

@@ -39,40 +39,50 @@ class Measure:
     now: str = "2020-01-01T00:00:00"
 
     def report(self) -> DataFrame:
-        """(group, population, stratifier, stratum, count); the whole population has a null stratifier. A null value is stratum `null`."""
+        """(group, population, stratifier, stratum, count); the whole population has a null stratifier. A null value is stratum `null`.
+
+        The values of a stratum of several components are joined by `|`; bars and backslashes in them are escaped."""
         out = None
         for i, g in enumerate(self.groups):
-            for code, expression in g.populations.items():
-                part = self._population(i, g, code, expression)
-                out = part if out is None else out.unionByName(part)
+            part = self._group(i, g)
+            out = part if out is None else out.unionByName(part)
         return out
 
-    def _population(self, i: int, g: Group, code: str, expression: str) -> DataFrame:
-        compiler = Compiler(self.model, self.library, self.parameters, self.now)
-        names = list(dict.fromkeys(e for s in g.stratifiers for e in ([s.expression] if s.expression else [c[1] for c in s.components])))
+    def _group(self, i: int, g: Group) -> DataFrame:
+        """All populations of a group from one plan: each subject, or each resource, counts once for each population it is in."""
+        names = list(dict.fromkeys(e for s in g.stratifiers for e in _expressions(s)))
         if g.basis == "boolean":
+            compiler = Compiler(self.model, self.library, self.parameters, self.now)
             kinds = {n: compiler.define(n).kind for n in names}
             compiler = Compiler(self.model, self.library, self.parameters, self.now)
-            rows = compiler.plan([expression, *names]).where(F.col(f"`{expression}`").cast("boolean"))
+            rows = compiler.plan(list(dict.fromkeys([*g.populations.values(), *names])))
+            member = F.array_compact(F.array(*[F.when(F.col(f"`{e}`").cast("boolean"), F.lit(code)) for code, e in g.populations.items()]))
+            rows = rows.select(*[F.col(f"`{n}`") for n in names], F.explode(member).alias("__population"))
         else:
-            kinds = dict.fromkeys(names, "Any")
-            rows = compiler.rows_plan(expression, names)
-        # One pass over the population for all stratifiers and the total.
+            kinds, rows = dict.fromkeys(names, "Any"), None
+            for code, e in g.populations.items():
+                compiler = Compiler(self.model, self.library, self.parameters, self.now)
+                part = compiler.rows_plan(e, names).select(*[F.col(f"`{n}`") for n in names], F.lit(code).alias("__population"))
+                rows = part if rows is None else rows.unionByName(part)
+        # One pass over the populations for all stratifiers and the total.
         keys = {n: f"__k{k}" for k, n in enumerate(names)}
-        shown = rows.select(*[_shown(F.col(f"`{n}`"), kinds[n]).alias(k) for n, k in keys.items()])
-        sets = [[]] + [[keys[e] for e in ([s.expression] if s.expression else [c[1] for c in s.components])] for s in g.stratifiers]
-        if names:
-            counted = shown.groupingSets(sets, *keys.values()).agg(F.count(F.lit(1)).alias("count"), F.grouping_id().alias("__gid"))
-        else:
-            counted = shown.agg(F.count(F.lit(1)).alias("count")).withColumn("__gid", F.lit(0))
-        which, stratum = None, None
+        shown = rows.select("__population", *[_shown(F.col(f"`{n}`"), kinds[n]).alias(k) for n, k in keys.items()])
+        sets = [[]] + [[keys[e] for e in _expressions(s)] for s in g.stratifiers]
+        by = [["__population", *cols] for cols in dict.fromkeys(map(tuple, sets))]
+        counted = shown.groupingSets(by, "__population", *keys.values()).agg(F.count(F.lit(1)).alias("count"), F.grouping_id().alias("__gid"))
+        out = None
         for s, cols in zip([None, *g.stratifiers], sets, strict=True):
             gid = sum(1 << (len(keys) - 1 - k) for k, c in enumerate(keys.values()) if c not in cols)
-            text = F.concat_ws("|", *[F.col(c) for c in cols]) if s else F.lit(None).cast("string")
-            name = F.lit(s.code if s else None).cast("string")
-            which = F.when(F.col("__gid") == gid, name) if which is None else which.when(F.col("__gid") == gid, name)
-            stratum = F.when(F.col("__gid") == gid, text) if stratum is None else stratum.when(F.col("__gid") == gid, text)
-        return counted.select(F.lit(i).alias("group"), F.lit(code).alias("population"), which.alias("stratifier"), stratum.alias("stratum"), "count")
+            safe = (lambda c: F.regexp_replace(c, r"([|\\])", r"\\$1")) if len(cols) > 1 else (lambda c: c)
+            text = F.concat_ws("|", *[safe(F.col(c)) for c in cols]) if s else F.lit(None).cast("string")
+            name = F.struct(F.lit(s.code if s else None).cast("string").alias("stratifier"), text.alias("stratum"))
+            own = F.when(F.col("__gid") == gid, F.array(name)).otherwise(F.array().cast("array<struct<stratifier:string,stratum:string>>"))
+            out = own if out is None else F.concat(out, own)  # stratifiers on the same expressions share a grouping set
+        found = counted.select("__population", "count", F.explode(out).alias("s"))
+        found = found.select(F.lit(i).alias("group"), F.col("__population").alias("population"), "s.stratifier", "s.stratum", "count")
+        # A population without members has a count, too.
+        empty = shown.sparkSession.createDataFrame([(i, code) for code in g.populations], "group int, population string").join(found.where("stratifier is null").select("population"), "population", "left_anti")
+        return found.unionByName(empty.select("group", "population", F.lit(None).cast("string").alias("stratifier"), F.lit(None).cast("string").alias("stratum"), F.lit(0).cast("long").alias("count")))
 
     def subjects(self, group: int, code: str) -> DataFrame:
         """(id) of the subjects of a population."""
@@ -83,6 +93,10 @@ class Measure:
         return compiler.plan([g.populations[code]]).where(F.col(f"`{g.populations[code]}`").cast("boolean")).select("id")
 
 
+def _expressions(s: Stratifier) -> list[str]:
+    return [s.expression] if s.expression else [c[1] for c in s.components]
+
+
 def _shown(c: Column, kind: str) -> Column:
     """How a stratum shows a value."""
     if kind == "Quantity":
@@ -124,10 +138,20 @@ def report_resource(measure: Measure, url: str = "", start: str | None = None, e
     return {"resourceType": "MeasureReport", "status": "complete", "type": "summary", "measure": url, "period": {"start": start, "end": end}, "group": out}
 
 
-def subject_list_resources(measure: Measure, group: int, code: str, list_id: str, kind: str = "Patient") -> DataFrame:
-    """(type, id, content): a List resource of a population's subjects, written to a store or as files."""
+#: References to a List resource.
+LIST_SIZE = 10_000
+
+
+def subject_list_resources(measure: Measure, group: int, code: str, list_id: str, kind: str = "Patient", size: int = LIST_SIZE) -> DataFrame:
+    """(type, id, content): a List resource of a population's subjects, written to a store or as files.
+
+    Populations larger than `size` make several Lists of about that size, whose ids end in their number."""
     ids = measure.subjects(group, code).select(F.col("id").cast("string").alias("id"))
-    items = ids.agg(F.array_sort(F.collect_list(F.concat(F.lit(f"{kind}/"), F.col("id")))).alias("refs"))
+    parts = -(-ids.count() // size) or 1
+    name = F.lit(list_id) if parts == 1 else F.concat(F.lit(f"{list_id}-"), F.pmod(F.xxhash64("id"), F.lit(parts)).cast("string"))
+    items = ids.groupBy(name.alias("__list")).agg(F.array_sort(F.collect_list(F.concat(F.lit(f"{kind}/"), F.col("id")))).alias("refs"))
+    if parts == 1:  # an empty population has a List, too
+        items = items.sparkSession.range(1).select(F.lit(list_id).alias("__list")).join(items, "__list", "left").withColumn("refs", F.coalesce("refs", F.array().cast("array<string>")))
     entry = F.transform("refs", lambda r: F.struct(F.struct(r.alias("reference")).alias("item")))
-    body = F.to_json(F.struct(F.lit("List").alias("resourceType"), F.lit(list_id).alias("id"), F.lit("current").alias("status"), F.lit("working").alias("mode"), entry.alias("entry")))
-    return items.select(F.lit("List").alias("type"), F.lit(list_id).alias("id"), body.alias("content"))
+    body = F.to_json(F.struct(F.lit("List").alias("resourceType"), F.col("__list").alias("id"), F.lit("current").alias("status"), F.lit("working").alias("mode"), entry.alias("entry")))
+    return items.select(F.lit("List").alias("type"), F.col("__list").alias("id"), body.alias("content"))

@@ -16,7 +16,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 class Lazy(Mapping):
-    """DataFrames that are made when they are first asked for: a query reads the schemas of its own tables only."""
+    """DataFrames, or what holds them, that are made when they are first asked for: a query reads the schemas of its own tables only."""
 
     def __init__(self, makers: dict[str, Callable[[], DataFrame]]) -> None:
         self.makers, self.made = makers, {}

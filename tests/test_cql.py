@@ -3,6 +3,7 @@
 import json
 
 import pytest
+from pyspark.sql import functions as F
 
 from cohortry.plans.cql import Compiler
 from cohortry.plans.cql_parser import CqlError, parse, parse_expression
@@ -33,7 +34,9 @@ RESOURCES = [
     obs("a", "0", "hb", 13.5, effectiveDateTime="2019-03-01", encounter={"reference": "Encounter/e"}),
     obs("b", "0", "hb", 9.0, effectiveDateTime="2018-03-01"),
     obs("c", "1", "hb", 120, "g/L", effectiveDateTime="2019"),
-    obs("d", "2", "wt", 80, "kg"),
+    obs("d", "2", "wt", 80, "kg", specimen={"reference": "Specimen/sp"}),
+    resource("Specimen", "sp", "2", type=concept("blood")),
+    resource("Specimen", "sq", "0", type=concept("urine")),
     resource("Encounter", "e", "0", status="finished", **{"class": {"system": "c", "code": "IMP"}}, period={"start": "2019-02-27", "end": "2019-03-05"}),
     resource("Encounter", "f", "2", status="finished", **{"class": {"system": "c", "code": "AMB"}}, period={"start": "2019-04-01"}),
     resource("Condition", "g", "0", code=concept("I10", "x"), onsetDateTime="2019-03-02", encounter={"reference": "Encounter/e"}),
@@ -49,7 +52,17 @@ code I10: 'I10' from s
 parameter Gender String default 'male'
 context Unfiltered
 define Drugs: [Medication: 'A'] M return 'Medication/' + M.id
+define NumDrugs: Count([Medication])
+define Oldest: Min(Births)
+define Births: [Patient] P return year from P.birthDate
+define Measured: Count(HasHb) - AnyHb
+define AnyHb: if AnyTrue(HasHb) then 1 else 0
+define Kinds: [Observation] O where O.value is not null return O.status
 context Patient
+define HasHb: exists [Observation: hb]
+define Inpatient: First([Encounter] E where E.class = 'IMP')
+define Female: if Patient.gender = 'female' then Patient else null
+define Blood: First([Specimen: 'blood'])
 define function Status(o Observation): o.status
 define City: Patient.city
 """
@@ -58,7 +71,8 @@ define City: Patient.city
 @pytest.fixture(scope="module")
 def model(spark):
     rows = [(r["resourceType"], r["id"], json.dumps(r)) for r in RESOURCES]
-    return clinical(spark.createDataFrame(rows, "type string, id string, content string").repartition(2))
+    codes = spark.createDataFrame([("s", "hb"), ("s", "wt")], "system string, code string")
+    return clinical(spark.createDataFrame(rows, "type string, id string, content string").repartition(2), code_systems=lambda url: codes.where(F.col("system") == url))
 
 
 CASES = {
@@ -94,6 +108,29 @@ CASES = {
     "1 / 0 is null": "TTT",
     "5 between 1 and 9": "TTT",
     "year from @2020-05-06 = 2020": "TTT",
+    "exists ([Encounter] E with ([Observation: hb] O where O.value > 10 'g/dL') X such that X.effective during E.period)": "TFF",
+    "Count([Encounter] E return E.status) = 1": "TFT",
+    "Count(Drugs) = 1 and exists Drugs": "TTT",
+    "NumDrugs = 1": "TTT",
+    "exists [Inpatient -> Observation: hb]": "TFF",
+    "Count([Inpatient -> Condition]) = 1": "TFF",
+    "Count([Female -> Observation]) = 1": "FTT",
+    "First([Blood -> Patient]).gender = 'female'": "NNT",
+    "Slice({1, 2, 3, 4}, 1, 3) = {2, 3} and Skip({1, 2}, 1) = {2} and Take({1, 2}, 1) = {1} and Tail({1, 2}) = {2}": "TTT",
+    "ToLong('5') = 5 and ToChars('ab') = {'a', 'b'} and ToList(3) = {3}": "TTT",
+    "convert 1 'kg' to 'g' = 1000 'g' and CanConvertQuantity(1 'kg', 'mg') and not CanConvertQuantity(1 'kg', 'm')": "TTT",
+    "ToTime('T12:30') < ToTime('T12:45') and Time(9, 5) = @T09:05": "TTT",
+    "ToRatio('1 \\'g\\':2 \\'L\\'').numerator = 1 'g'": "TTT",
+    "ConvertsToBoolean('yes') and not ConvertsToDate('x') and ConvertsToQuantity('3 \\'g\\'') and ConvertsToLong('4') and ConvertsToTime('T10:00') and ConvertsToString(1) and not ConvertsToRatio('q')": "TTT",
+    "Sum([Observation: hb] O return all O.value) > 100 'g/L'": "TTN",
+    "Flatten({{1, 2}, {3}}) = {1, 2, 3} and Flatten({{{1}}, {{2}, {3}}}) = {1, 2, 3}": "TTT",
+    "Children(Code { system: 's', code: 'c' })[0] = 'c'": "TTT",
+    "Quantity { value: 5, unit: 'kg' } = 5000 'g'": "TTT",
+    "CalculateAgeInYears(Patient.birthDate) >= 15 and CalculateAgeInMonthsAt(@2000-01-01, @2000-03-01) = 2": "TTT",
+    "TimeOfDay() = @T00:00:00": "TTT",
+    "Tuple { a: 1, b: 'x' }.a = 1": "TTT",
+    "hb in s and not (Code { system: 's', code: 'zz' } in s)": "TTT",
+    "exists ([Observation] O where O.code in s and O.value > 70 'kg')": "FFT",
 }
 
 
@@ -110,6 +147,55 @@ def test_definitions(answers, i):
     assert got == list(CASES.values())[i], list(CASES)[i]
 
 
+def test_unfiltered_context(model):
+    got = Compiler(model, HEAD).plan(["NumDrugs", "Oldest", "Measured"]).distinct().drop("id").distinct().collect()
+    assert [tuple(r) for r in got] == [(1, 1950, 2)]
+    assert [r["v"] for r in Compiler(model, HEAD).values("Kinds").collect()] == ["final"]
+    with pytest.raises(CqlError):
+        Compiler(model, HEAD).values("City")
+
+
+def test_specimens_as_subjects(spark):
+    rows = [(r["resourceType"], r["id"], json.dumps(r)) for r in RESOURCES]
+    model = clinical(spark.createDataFrame(rows, "type string, id string, content string"), subject="Specimen")
+    text = "context Specimen define g: First([Patient]).gender define n: Count([Observation]) define x: exists [Observation: 'wt']"
+    got = {r["id"]: (r["g"], r["n"], r["x"]) for r in Compiler(model, text).plan(["g", "n", "x"]).collect()}
+    assert got == {"sp": ("female", 1, True), "sq": ("male", 0, False)}
+    with pytest.raises(CqlError, match="does not belong"):
+        Compiler(model, "define x: First([Condition])").plan(["x"])
+
+
+def test_relations_are_joins_of_rows(model):
+    text = HEAD + "define a: exists ([Encounter] E with [Observation: hb] O such that O.effective during E.period)\ndefine b: exists ([Encounter] E without [Observation] O such that O.encounter.reference = 'Encounter/' + E.id)"
+    plan = Compiler(model, text).plan(["a", "b"])._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join ExistenceJoin" in plan and "collect_list" not in plan
+
+
+def test_populations_share_a_plan(model):
+    text = HEAD + "define a: exists [Observation: hb]\ndefine b: a and exists [Observation: wt]\ndefine c: Patient.gender = 'female'"
+    group = Group({"initial-population": "a", "numerator": "b", "denominator": "c"}, (Stratifier("city", "City"), Stratifier("again", "City")))
+    report = Measure(model, text, [group]).report()
+    got = {(r["population"], r["stratifier"], r["stratum"]): r["count"] for r in report.collect()}
+    assert got[("initial-population", None, None)] == 2 and got[("numerator", None, None)] == 0 and got[("denominator", "city", "null")] == 1 == got[("denominator", "again", "null")]
+    assert report._jdf.queryExecution().optimizedPlan().toString().count("= Observation)") == 2  # for the counts, and for what has none
+
+
+def test_strata_with_bars_stay_apart(spark):
+    rows = [resource("Patient", str(i), gender=g, address=[{"city": c}]) for i, (g, c) in enumerate([("a|b", "c"), ("a", "b|c"), ("a\\", "b")])]
+    model = clinical(spark.createDataFrame([("Patient", r["id"], json.dumps(r)) for r in rows], "type string, id string, content string"))
+    group = Group({"p": "All"}, (Stratifier("both", components=(("g", "G"), ("c", "City"))),))
+    got = Measure(model, "context Patient define All: true define G: Patient.gender define City: Patient.city", [group]).report().where("stratifier = 'both'").collect()
+    assert sorted(r["stratum"] for r in got) == sorted(["a\\|b|c", "a|b\\|c", "a\\\\|b"])
+
+
+def test_subject_lists_are_split(model):
+    measure = Measure(model, "context Patient define All: true define None: false", [Group({"all": "All", "none": "None"})])
+    got = subject_list_resources(measure, 0, "all", "l", size=1).collect()
+    entries = [e["item"]["reference"] for r in got for e in json.loads(r["content"])["entry"]]
+    assert sorted(entries) == ["Patient/0", "Patient/1", "Patient/2"] and all(r["id"].startswith("l-") for r in got)
+    assert [json.loads(r["content"])["entry"] for r in subject_list_resources(measure, 0, "none", "l").collect()] == [[]]
+
+
 def test_one_scan_for_many_definitions(model):
     text = HEAD + "define a: exists [Observation: hb]\ndefine b: exists [Observation: wt]\ndefine c: Count([Observation])\ndefine all: a and b and c > 1"
     plan = Compiler(model, text).plan(["all"])._jdf.queryExecution().optimizedPlan().toString()
@@ -147,8 +233,11 @@ def test_parameters(model):
     assert (count({}), count({"Gender": "female"}), count({"Gender": "other"})) == (1, 2, 0)
     with pytest.raises(CqlError):
         count({"Nothing": 1})
+    listed = HEAD + "parameter Genders List<String>\nparameter Both\ndefine x: Patient.gender in Genders\ndefine y: Patient.gender = Both.first and Both.second > 1"
+    many = lambda e, p: Measure(model, listed, [Group({"p": e})], p).report().first()["count"]
+    assert (many("x", {"Genders": ["male", "female"]}), many("x", {"Genders": ["other"]}), many("y", {"Both": {"first": "male", "second": 2}})) == (3, 0, 1)
     with pytest.raises(CqlError):
-        count({"Gender": [1, 2]})
+        count({"Gender": object()})
 
 
 def test_ad_hoc_expression(model):
