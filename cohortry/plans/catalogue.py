@@ -9,6 +9,9 @@ from pyspark.sql import functions as F
 
 from cohortry.functions import aggregates, arithmetic, convert, intervals, lists, logic, quantity, strings, temporal
 from cohortry.operators import navigate, search, snapshots
+from cohortry.plans.cql import Compiler
+from cohortry.plans.measure import Group, Measure, Stratifier
+from cohortry.plans.models import relational
 from cohortry.plans.tables import registry, table, terminology
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -42,17 +45,24 @@ def retrieve_by_code(spark, d):
     return registry(spark, d).search("Event", [("type", ["purchase"])]).select("event_id", "user_id", "value")
 
 
-@query("""SELECT c_custkey, c_mktsegment FROM customer WHERE EXISTS (
-  SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_orderstatus = 'F' AND o_totalprice > 300000)""")
+def _cql(spark, d, text: str, names: list[str], subject: str = "Patient", parameters: dict | None = None, now: str = "2020-01-01T00:00:00") -> DataFrame:
+    return Compiler(relational(spark, d, subject), f"context {subject}\n{text}", parameters, now).plan(names)
+
+
+_RICH = "define Rich: exists ([Order: status in { 'F' }] O where O.total > 300000)\ndefine Segment: Patient.segment\n"
+_COHORT = "EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_orderstatus = 'F' AND o_totalprice > 300000)"
+
+
+@query(f"SELECT c_custkey, c_mktsegment FROM customer WHERE {_COHORT}")
 def exists_code_value(spark, d):
-    hits = table(spark, d, "orders").where((F.col("o_orderstatus") == "F") & (F.col("o_totalprice") > 300000))
-    return table(spark, d, "customer").join(hits, F.col("c_custkey") == F.col("o_custkey"), "left_semi").select("c_custkey", "c_mktsegment")
+    return _cql(spark, d, _RICH, ["Rich", "Segment"]).where("Rich").select(F.col("id").alias("c_custkey"), F.col("Segment").alias("c_mktsegment"))
 
 
 @query("""SELECT c_custkey FROM customer WHERE EXISTS (SELECT 1 FROM events WHERE user_id = c_custkey AND event_type IN ('purchase', 'signup', 'error') AND value > 100)""")
 def ten_code_or(spark, d):
-    hits = table(spark, d, "events").where(F.col("event_type").isin("purchase", "signup", "error") & (F.col("value") > 100))
-    return table(spark, d, "customer").join(hits, F.col("c_custkey") == F.col("user_id"), "left_semi").select("c_custkey")
+    codes = ["purchase", "signup", "error", *(f"code {i}" for i in range(7))]
+    text = f"define Any: exists ([Event: {{ {', '.join(map(repr, codes))} }}] E where E.value > 100)"
+    return _cql(spark, d, text, ["Any"]).where("Any").select(F.col("id").alias("c_custkey"))
 
 
 @query("""SELECT c_custkey FROM customer WHERE EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_orderpriority = '1-URGENT')
@@ -60,28 +70,26 @@ def ten_code_or(spark, d):
   AND NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_orderstatus = 'P' AND o_totalprice < 5000)""")
 def boolean_exists_one_pass(spark, d):
     """Several exists over one type are flags of one aggregation, not several joins."""
-    flags = table(spark, d, "orders").groupBy("o_custkey").agg(
-        aggregates.any_true(F.col("o_orderpriority") == "1-URGENT").alias("a"),
-        aggregates.any_true((F.col("o_orderpriority") == "5-LOW") & (F.col("o_totalprice") > 200000)).alias("b"),
-        aggregates.any_true((F.col("o_orderstatus") == "P") & (F.col("o_totalprice") < 5000)).alias("c"),
-    )
-    j = table(spark, d, "customer").join(flags, F.col("c_custkey") == F.col("o_custkey"), "left")
-    flag = lambda c: F.coalesce(F.col(c), F.lit(False))
-    return j.where(flag("a") & flag("b") & ~flag("c")).select("c_custkey")
+    text = """define In: exists [Order: '1-URGENT'] and exists ([Order: '5-LOW'] O where O.total > 200000) and not exists ([Order: status in { 'P' }] O where O.total < 5000)"""
+    return _cql(spark, d, text, ["In"]).where("In").select(F.col("id").alias("c_custkey"))
+
 
+def _orders(spark, d, text: str) -> DataFrame:
+    """The orders that a definition named Orders returns."""
+    rows = Compiler(relational(spark, d), f"context Patient define function Key(o Order): o.id\ndefine Orders: {text}").rows_plan("Orders", ["Key"])
+    return rows.select(F.col("Key").alias("o_orderkey"), F.col("id").alias("o_custkey"))
 
-@query("""SELECT o_orderkey, o_custkey FROM orders WHERE EXISTS (
-  SELECT 1 FROM lineitem WHERE l_orderkey = o_orderkey AND l_shipdate > o_orderdate + INTERVAL 90 DAY AND l_quantity > 40)""")
+
+@query("""SELECT o_orderkey, o_custkey FROM orders a WHERE o_orderstatus = 'F' AND EXISTS (
+  SELECT 1 FROM orders b WHERE b.o_custkey = a.o_custkey AND b.o_orderstatus = 'P' AND CAST(b.o_orderdate AS DATE) < CAST(a.o_orderdate AS DATE) AND b.o_totalprice > 200000)""")
 def with_semi_join(spark, d):
-    items = table(spark, d, "lineitem").where("l_quantity > 40")
-    cond = (F.col("l_orderkey") == F.col("o_orderkey")) & (F.col("l_shipdate") > F.col("o_orderdate") + F.expr("interval 90 days"))
-    return table(spark, d, "orders").join(items, cond, "left_semi").select("o_orderkey", "o_custkey")
+    return _orders(spark, d, "[Order: status in { 'F' }] A with ([Order: status in { 'P' }] P where P.total > 200000) B such that B.date before A.date")
 
 
-@query("SELECT c_custkey FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_orderstatus = 'P' AND o_totalprice > 250000)")
+@query("""SELECT o_orderkey, o_custkey FROM orders a WHERE o_orderstatus = 'F' AND NOT EXISTS (
+  SELECT 1 FROM orders b WHERE b.o_custkey = a.o_custkey AND b.o_orderstatus = 'O' AND b.o_totalprice > a.o_totalprice)""")
 def without_anti_join(spark, d):
-    hits = table(spark, d, "orders").where("o_orderstatus = 'P' and o_totalprice > 250000")
-    return table(spark, d, "customer").join(hits, F.col("c_custkey") == F.col("o_custkey"), "left_anti").select("c_custkey")
+    return _orders(spark, d, "[Order: status in { 'F' }] A without [Order: status in { 'O' }] B such that B.total > A.total")
 
 
 @query("""SELECT l_orderkey, l_linenumber, l_partkey FROM lineitem WHERE l_partkey IN (SELECT p_partkey FROM part WHERE p_brand = 'Brand#2' AND p_type = 'PROMO')""")
@@ -90,15 +98,20 @@ def unfiltered_reference_semi(spark, d):
     return reg.search("LineItem", [("part.brand", ["brand|Brand#2"]), ("part.type", ["PROMO"])]).select("l_orderkey", "l_linenumber", "l_partkey")
 
 
-@query("SELECT o_orderkey AS order_key, round(o_totalprice / 2, 2) AS half FROM orders WHERE o_orderpriority = '2-HIGH' AND o_totalprice > 400000")
+def _values(spark, d, expression: str) -> DataFrame:
+    """The tuples that a list of the Unfiltered context returns, as columns."""
+    return Compiler(relational(spark, d), f"context Unfiltered define Values: {expression}").values("Values").select("v.*")
+
+
+@query("SELECT o_orderkey AS order_key, CAST(o_totalprice / 2 AS DECIMAL(18,2))::VARCHAR AS half FROM orders WHERE o_orderpriority = '2-HIGH' AND o_totalprice > 400000")
 def where_return(spark, d):
-    df = table(spark, d, "orders").where("o_orderpriority = '2-HIGH' and o_totalprice > 400000")
-    return df.select(F.col("o_orderkey").alias("order_key"), F.round(F.col("o_totalprice") / 2, 2).alias("half"))
+    got = _values(spark, d, "[Order: '2-HIGH'] O where O.total > 400000 return all Tuple { order_key: O.id, half: O.total / 2 }")
+    return got.select("order_key", F.round("half", 2).cast("decimal(18,2)").cast("string").alias("half"))
 
 
-@query("SELECT DISTINCT o_custkey, o_orderstatus FROM orders WHERE o_totalprice > 100000")
+@query("SELECT DISTINCT o_orderpriority AS priority, o_orderstatus AS status FROM orders WHERE o_totalprice > 100000")
 def distinct_return(spark, d):
-    return table(spark, d, "orders").where("o_totalprice > 100000").select("o_custkey", "o_orderstatus").dropDuplicates()
+    return _values(spark, d, "[Order] O where O.total > 100000 return Tuple { priority: O.priority, status: O.status }")
 
 
 @query("SELECT o_custkey, arg_min(o_orderkey, (o_orderdate, o_orderkey)) AS first_order, strftime(min(o_orderdate), '%Y-%m-%d') AS first_day FROM orders GROUP BY o_custkey")
@@ -116,37 +129,39 @@ def last_sorted(spark, d):
 # Measures: populations, strata, subject lists.
 
 
-@query("SELECT o_orderstatus AS status, count(*) AS n FROM orders WHERE o_totalprice > 50000 GROUP BY 1")
-def population_based_count(spark, d):
-    return table(spark, d, "orders").where("o_totalprice > 50000").groupBy(F.col("o_orderstatus").alias("status")).agg(F.count(F.lit(1)).alias("n"))
+def _report(spark, d, text: str, *stratifiers: Stratifier, basis: str = "boolean", population: str = "In") -> DataFrame:
+    return Measure(relational(spark, d), f"context Patient\n{text}", [Group({"initial-population": population}, stratifiers, basis)]).report()
 
 
-_COHORT = "EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_orderstatus = 'F' AND o_totalprice > 300000)"
+@query("SELECT o_orderstatus AS status, count(*) AS n FROM orders WHERE o_totalprice > 50000 GROUP BY 1")
+def population_based_count(spark, d):
+    text = "define In: [Order] O where O.total > 50000\ndefine function Status(o Order): o.status"
+    return _report(spark, d, text, Stratifier("status", "Status"), basis="Order").where("stratifier = 'status'").select(F.col("stratum").alias("status"), F.col("count").alias("n"))
 
 
 @query(f"SELECT coalesce(c_mktsegment, 'null') AS stratum, count(*) AS n FROM customer WHERE {_COHORT} GROUP BY 1")
 def stratify_single(spark, d):
-    return exists_code_value(spark, d).groupBy(F.coalesce("c_mktsegment", F.lit("null")).alias("stratum")).agg(F.count(F.lit(1)).alias("n"))
+    return _report(spark, d, _RICH, Stratifier("segment", "Segment"), population="Rich").where("stratifier = 'segment'").select("stratum", F.col("count").alias("n"))
 
 
-@query(f"SELECT c_mktsegment AS segment, CASE WHEN c_acctbal < 0 THEN 'debt' ELSE 'credit' END AS balance, count(*) AS n FROM customer WHERE {_COHORT} GROUP BY 1, 2")
+@query(f"SELECT c_mktsegment || '|' || CASE WHEN c_acctbal < 0 THEN 'debt' ELSE 'credit' END AS stratum, count(*) AS n FROM customer WHERE {_COHORT} GROUP BY 1")
 def stratify_multi(spark, d):
-    cohort = exists_code_value(spark, d).select("c_custkey")
-    j = table(spark, d, "customer").join(cohort, "c_custkey", "left_semi")
-    return j.groupBy(F.col("c_mktsegment").alias("segment"), logic.if_(F.col("c_acctbal") < 0, "debt", "credit").alias("balance")).agg(F.count(F.lit(1)).alias("n"))
+    text = _RICH + "define Balance: if Patient.balance < 0 then 'debt' else 'credit'"
+    return _report(spark, d, text, Stratifier("both", components=(("segment", "Segment"), ("balance", "Balance"))), population="Rich").where("stratifier = 'both'").select("stratum", F.col("count").alias("n"))
 
 
-@query("""SELECT coalesce(c_mktsegment, '-') AS segment, coalesce(CAST(c_nationkey AS VARCHAR), '-') AS nation, count(*) AS n
+@query("""SELECT CASE WHEN grouping(c_mktsegment) = 0 THEN 'segment' WHEN grouping(c_nationkey) = 0 THEN 'nation' END AS stratifier, coalesce(c_mktsegment, CAST(c_nationkey AS VARCHAR)) AS stratum, count(*) AS n
   FROM customer GROUP BY GROUPING SETS ((c_mktsegment), (c_nationkey), ())""")
 def grouping_sets_strata(spark, d):
     """Several stratifiers and the whole population in one pass."""
-    df = table(spark, d, "customer").groupingSets([["c_mktsegment"], ["c_nationkey"], []], "c_mktsegment", "c_nationkey").agg(F.count(F.lit(1)).alias("n"))
-    return df.select(F.coalesce("c_mktsegment", F.lit("-")).alias("segment"), F.coalesce(F.col("c_nationkey").cast("string"), F.lit("-")).alias("nation"), "n")
+    text = "define In: true\ndefine Segment: Patient.segment\ndefine Nation: Patient.nation"
+    return _report(spark, d, text, Stratifier("segment", "Segment"), Stratifier("nation", "Nation")).select("stratifier", "stratum", F.col("count").alias("n"))
 
 
-@query(f"SELECT c_mktsegment AS stratum, 'Customer/' || c_custkey AS subject FROM customer WHERE {_COHORT}")
+@query(f"SELECT 'Customer/' || c_custkey AS subject FROM customer WHERE {_COHORT}")
 def subject_list(spark, d):
-    return exists_code_value(spark, d).select(F.col("c_mktsegment").alias("stratum"), F.concat(F.lit("Customer/"), F.col("c_custkey").cast("string")).alias("subject"))
+    ids = Measure(relational(spark, d), f"context Patient\n{_RICH}", [Group({"initial-population": "Rich"})]).subjects(0, "initial-population")
+    return ids.select(F.concat(F.lit("Customer/"), F.col("id").cast("string")).alias("subject"))
 
 
 @query("""SELECT event_type AS code, round(avg(value), 6) AS a_avg, count(value) AS a_count, round(exp(avg(ln(value))), 6) AS a_geo, max(value) AS a_max, min(value) AS a_min,
@@ -247,14 +262,10 @@ def collapse_intervals(spark, d):
     return per.select("k", c.alias("c")).select("k", F.size("c").cast("long").alias("n"), lists.sum_(F.transform("c", intervals.width), "long").alias("days"))
 
 
-@query("""SELECT a.o_orderkey FROM orders a WHERE a.o_orderstatus = 'F' AND EXISTS (SELECT 1 FROM orders b WHERE b.o_custkey = a.o_custkey AND b.o_orderstatus = 'P'
-  AND a.o_orderdate <= b.o_orderdate + INTERVAL 10 DAY AND b.o_orderdate <= a.o_orderdate + INTERVAL 10 DAY)""")
+@query("""SELECT a.o_orderkey, a.o_custkey FROM orders a WHERE a.o_orderstatus = 'F' AND EXISTS (SELECT 1 FROM orders b WHERE b.o_custkey = a.o_custkey AND b.o_orderstatus = 'P'
+  AND CAST(a.o_orderdate AS DATE) <= CAST(b.o_orderdate AS DATE) + 10 AND CAST(b.o_orderdate AS DATE) <= CAST(a.o_orderdate AS DATE) + 10)""")
 def overlaps_join(spark, d):
-    o = table(spark, d, "orders")
-    lo = F.unix_date(F.to_date("o_orderdate"))
-    a = o.where("o_orderstatus = 'F'").select("o_orderkey", F.col("o_custkey").alias("ka"), intervals.interval(lo, lo + 10).alias("ia"))
-    b = o.where("o_orderstatus = 'P'").select(F.col("o_custkey").alias("kb"), intervals.interval(lo, lo + 10).alias("ib"))
-    return a.join(b, (F.col("ka") == F.col("kb")) & intervals.overlaps(F.col("ia"), F.col("ib")), "left_semi").select("o_orderkey")
+    return _orders(spark, d, "[Order: status in { 'F' }] A with [Order: status in { 'P' }] B such that Interval[A.date, A.date + 10 days] overlaps Interval[B.date, B.date + 10 days]")
 
 
 @query("SELECT o_orderkey FROM orders WHERE o_orderdate BETWEEN TIMESTAMP '1997-03-01' AND TIMESTAMP '1997-06-30'")
@@ -603,13 +614,6 @@ def referential_integrity(spark, d):
     return snapshots.dangling_references(refs, present)
 
 
-@query("""SELECT c_custkey, CASE WHEN n IS NULL THEN 'insert' WHEN n = 1 THEN 'hold' ELSE 'conflict' END AS outcome FROM customer LEFT JOIN (SELECT o_custkey, count(*) AS n FROM orders WHERE o_totalprice > 450000 GROUP BY 1) ON c_custkey = o_custkey""")
-def conditional_create(spark, d):
-    hits = table(spark, d, "orders").where("o_totalprice > 450000").groupBy("o_custkey").agg(F.count(F.lit(1)).alias("n"))
-    j = table(spark, d, "customer").join(hits, F.col("c_custkey") == F.col("o_custkey"), "left")
-    return j.select("c_custkey", logic.case((F.col("n").isNull(), "insert"), (F.col("n") == 1, "hold"), other="conflict").alias("outcome"))
-
-
 # Terminology.
 
 _GEO = """WITH RECURSIVE e AS (SELECT 'R' || n_regionkey AS p, 'N' || n_nationkey AS c, n_name AS d FROM nation UNION ALL SELECT 'W', 'R' || r_regionkey, r_name FROM region),
@@ -664,18 +668,10 @@ def text_filter(spark, d):
 # Queries and measures written in the cohort query language.
 
 
-def _cql(spark, d, text: str, names: list[str]) -> DataFrame:
-    from cohortry.plans.cql import Compiler
-    from cohortry.plans.models import relational
-
-    return Compiler(relational(spark, d), text).plan(names)
-
-
 @query("""SELECT c_custkey AS id FROM customer WHERE c_acctbal > 1000 AND EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_orderpriority = '1-URGENT' AND o_totalprice > 200000 AND o_orderdate BETWEEN TIMESTAMP '1996-01-01' AND TIMESTAMP '1998-12-31')
   AND NOT EXISTS (SELECT 1 FROM events WHERE user_id = c_custkey AND event_type = 'error' AND value > 200)""")
 def cql_exists(spark, d):
     text = """
-    context Patient
     define InInitialPopulation:
       Patient.balance > 1000 and
       exists ([Order: '1-URGENT'] O where O.total > 200000 and O.date during Interval[@1996-01-01, @1998-12-31]) and
@@ -688,7 +684,6 @@ def cql_exists(spark, d):
   m AS (SELECT * FROM a WHERE EXISTS (SELECT 1 FROM b WHERE b.o_custkey = a.o_custkey AND b.o_orderdate < a.o_orderdate)) SELECT c_custkey AS id, count(o_orderkey) AS n, arg_max(o_orderkey, (o_orderdate, -o_orderkey)) AS newest FROM customer LEFT JOIN m ON o_custkey = c_custkey GROUP BY 1""")
 def cql_with_sort(spark, d):
     text = """
-    context Patient
     define Late: [Order: status in { 'F' }] A with [Order: status in { 'P' }] B such that B.date before A.date
     define n: Count(Late)
     define newest: First((Late) L sort by date desc, id).id
@@ -703,9 +698,6 @@ def cql_with_sort(spark, d):
 @query("""WITH p AS (SELECT c_custkey, c_mktsegment AS s, c_nationkey % 5 AS r FROM customer WHERE EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_totalprice > 400000)) SELECT CAST(NULL AS VARCHAR) AS stratifier, CAST(NULL AS VARCHAR) AS stratum, count(*) AS n FROM p
   UNION ALL SELECT 'segment', s, count(*) FROM p GROUP BY s UNION ALL SELECT 'both', s || '|' || r, count(*) FROM p GROUP BY s, r""")
 def cql_measure(spark, d):
-    from cohortry.plans.measure import Group, Measure, Stratifier
-    from cohortry.plans.models import relational
-
     text = """
     context Patient
     define InInitialPopulation: exists ([Order] O where O.total > 400000)
@@ -719,9 +711,6 @@ def cql_measure(spark, d):
 
 @query("""SELECT stratum, count(*) AS n FROM (SELECT o_orderstatus AS stratum FROM orders WHERE o_totalprice > 250000 AND o_orderpriority = '5-LOW') GROUP BY 1""")
 def cql_population_basis(spark, d):
-    from cohortry.plans.measure import Group, Measure, Stratifier
-    from cohortry.plans.models import relational
-
     text = """
     context Patient
     define Orders: [Order: '5-LOW'] O where O.total > 250000
@@ -792,9 +781,6 @@ def grammar_code_systems(spark, d):
 
 @query("SELECT c_custkey AS id FROM customer WHERE c_mktsegment = 'BUILDING' AND (SELECT count(*) FROM orders WHERE o_custkey = c_custkey AND o_orderstatus = 'O') >= 3")
 def cql_subject_list(spark, d):
-    from cohortry.plans.measure import Group, Measure
-    from cohortry.plans.models import relational
-
     text = "context Patient define Cohort: Patient.segment = 'BUILDING' and Count([Order: status in { 'O' }]) >= 3"
     return Measure(relational(spark, d), text, [Group({"initial-population": "Cohort"})]).subjects(0, "initial-population")
 
@@ -803,7 +789,6 @@ def cql_subject_list(spark, d):
   (SELECT max(value) FROM events WHERE user_id = c_custkey) AS peak FROM customer""")
 def cql_aggregates(spark, d):
     text = """
-    context Patient
     define total: Sum([Order: status in { 'F' }] O return all O.total)
     define peak: Max([Event] E return all E.value)
     """
