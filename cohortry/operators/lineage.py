@@ -1,10 +1,27 @@
-"""Loops over DataFrames keep their plans short by writing each round to the cluster's checkpoint folder."""
+"""Loops over DataFrames keep their plans short by writing each round to the cluster's shared folder."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import re
+import tempfile
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession
+
+
+def scratch(spark: SparkSession) -> str:
+    """A new folder in the one that all machines share, spark.checkpoint.dir. Where that is unset, a local master gets
+    one of its own; on a cluster it would differ from machine to machine, so there it is an error."""
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if not folder:
+        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir has to name a folder that all machines share")
+        folder = f"file://{tempfile.gettempdir()}/checkpoints/cohortry"
+    return f"{folder}/{uuid.uuid4().hex}"
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """df without its lineage, where the session names a checkpoint folder; as it is elsewhere."""
-    return df.checkpoint() if df.sparkSession.conf.get("spark.checkpoint.dir", None) else df
+    """df without its lineage: written once, read from then on."""
+    path = scratch(df.sparkSession)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

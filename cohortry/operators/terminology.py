@@ -31,19 +31,16 @@ def closure(edges: DataFrame, rounds: int = 64) -> DataFrame:
 
 
 def descendants(spark: SparkSession, edges: DataFrame, system: str, root: str, itself: bool) -> DataFrame:
-    """(code) below a root, by a recursive query over the edges."""
-    edges.createOrReplaceTempView("__edges")
-    walk = spark.sql(
-        """
-        WITH RECURSIVE below(code) AS (
-          SELECT CAST(:root AS STRING)
-          UNION ALL
-          SELECT e.child FROM __edges e JOIN below b ON e.parent = b.code WHERE e.system = :system
-        ) SELECT DISTINCT code FROM below
-        """,
-        args={"root": root, "system": system},
-    )
-    return walk if itself else walk.where(F.col("code") != root)
+    """(code) below a root: a search from the root on, which reads nothing that does not lie below it."""
+    own = edges.where(F.col("system") == system).select("parent", "child").distinct()
+    start = spark.range(1).select(F.lit(root).alias("code"))
+    found = frontier = start
+    while True:  # each concept is visited once, whatever paths and cycles lead to it
+        step = own.join(frontier, own["parent"] == F.col("code"), "left_semi").select(F.col("child").alias("code")).distinct()
+        frontier = cut(step.join(found, "code", "left_anti"))
+        if frontier.isEmpty():
+            return found if itself else found.where(F.col("code") != root)
+        found = found.union(frontier)
 
 
 @dataclass(frozen=True)
@@ -89,10 +86,12 @@ class Terminology:
         own = self.concepts.where(F.col("system") == system)
         props = self.properties.where((F.col("system") == system) & (F.col("property") == f.property))
         if f.op in ("is-a", "descendent-of"):
-            below = self._closure().where((F.col("system") == system) & (F.col("ancestor") == f.value)).select(F.col("descendant").alias("code"))
-            below = below if f.op == "is-a" else below.where(F.col("code") != f.value)
-            if f.op == "is-a":
-                below = below.union(own.where(F.col("code") == f.value).select("code")).distinct()
+            if self.closures is not None:
+                below = self.closures.where((F.col("system") == system) & (F.col("ancestor") == f.value)).select(F.col("descendant").alias("code"))
+                below = below.union(below.sparkSession.range(1).select(F.lit(f.value).alias("code"))).distinct()
+                below = below if f.op == "is-a" else below.where(F.col("code") != f.value)
+            else:
+                below = descendants(self.edges.sparkSession, self.edges, system, f.value, f.op == "is-a")
             return own.join(below, "code", "left_semi")
         if f.op == "=":
             if f.property in ("parent", "child"):

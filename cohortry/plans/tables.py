@@ -54,6 +54,7 @@ def registry(spark: SparkSession, sf_dir: str) -> Registry:
             "Supplier": key("supplier", "s_suppkey"),
             "Nation": key("nation", "n_nationkey"),
             "Region": key("region", "r_regionkey"),
+            "List": lambda: t("nation").groupBy(F.col("n_regionkey").cast("string").alias("id")).agg(F.collect_list(F.struct(F.lit("Nation").alias("type"), F.col("n_nationkey").cast("string").alias("id"))).alias("item")),
         }
     )
     params = {
@@ -77,6 +78,7 @@ def registry(spark: SparkSession, sf_dir: str) -> Registry:
             "order": Param("reference", _ref("Order", "l_orderkey"), ("Order",)),
             "part": Param("reference", _ref("Part", "l_partkey"), ("Part",)),
             "supplier": Param("reference", _ref("Supplier", "l_suppkey"), ("Supplier",)),
+            "times": Param("date", lambda: F.concat(*[F.array(instant(F.col("l_shipdate") + F.expr(f"interval {n} days"), "day").col) for n in (0, 30)])),
             "flag-quantity": Param(
                 "composite",
                 lambda: One(F.struct(code(F.col("l_returnflag")).col.alias("flag"), F.struct(F.col("l_quantity").cast("decimal(28,8)").alias("value"), F.lit("pc").alias("unit"), F.lit("units").alias("system"), F.lit("pc").alias("code")).alias("quantity"))),
@@ -94,6 +96,8 @@ def registry(spark: SparkSession, sf_dir: str) -> Registry:
             "brand": Param("token", lambda: code(F.col("p_brand"), "brand")),
             "type": Param("token", lambda: code(F.col("p_type"))),
             "sound": Param("phonetic", lambda: One(F.col("p_name"))),
+            "label": Param("token", lambda: code(F.concat_ws(",", "p_brand", "p_type"))),
+            "url": Param("uri", lambda: One(F.concat(F.lit("http://parts/"), F.col("p_type"), F.lit("/"), F.col("p_brand")))),
         },
         "Supplier": {
             "nation": Param("reference", _ref("Nation", "s_nationkey"), ("Nation",)),
@@ -101,6 +105,7 @@ def registry(spark: SparkSession, sf_dir: str) -> Registry:
         },
         "Nation": {"region": Param("reference", _ref("Region", "n_regionkey"), ("Region",)), "name": Param("string", lambda: One(F.col("n_name")))},
         "Region": {"name": Param("string", lambda: One(F.col("r_name")))},
+        "List": {"item": Param("reference", lambda: F.col("item"), ("Nation",))},
     }
     # Part types are plain codes in the parts' table; the code system names its own.
     expand = lambda url: terminology(spark, sf_dir).expand(url).withColumn("system", F.when(F.col("system") != "part-type", F.col("system")))

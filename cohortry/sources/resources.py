@@ -93,12 +93,22 @@ def write_parquet(resources: DataFrame, path: str) -> None:
     resources.write.partitionBy("type").parquet(path)
 
 
+#: Fixed value: the tag of a resource that is not whole.
+SUBSETTED = '{"system":"http://terminology.hl7.org/CodeSystem/v3-ObservationValue","code":"SUBSETTED"}'
+
+
 def summary(resources: DataFrame, elements: list[str]) -> DataFrame:
-    """Resources cut to some elements (type and id stay), marked as a subset."""
+    """Resources cut to some elements (type, id and meta stay; what is nested stays as it is), with the tag SUBSETTED."""
     keep = ["resourceType", "id", *elements]
-    obj = F.from_json("content", "map<string,string>")
-    cut = F.map_filter(obj, lambda k, _: k.isin(keep))
-    return resources.withColumn("content", F.to_json(F.map_concat(cut, F.create_map(F.lit("_tag"), F.lit("SUBSETTED")))))
+    parts = lambda c: F.from_json(c, "map<string,variant>")
+    none = F.from_json(F.lit("{}"), "map<string,variant>")
+    cut = F.map_filter(parts(F.col("content")), lambda k, _: k.isin(keep))
+    meta = F.coalesce(parts(F.get_json_object("content", "$.meta")), none)
+    tags = F.coalesce(F.from_json(F.get_json_object("content", "$.meta.tag"), "array<variant>"), F.array().cast("array<variant>"))
+    tags = F.parse_json(F.to_json(F.concat(tags, F.array(F.parse_json(F.lit(SUBSETTED))))))
+    tagged = F.map_concat(F.map_filter(meta, lambda k, _: k != "tag"), F.create_map(F.lit("tag"), tags))
+    whole = F.map_concat(F.map_filter(cut, lambda k, _: k != "meta"), F.create_map(F.lit("meta"), F.parse_json(F.to_json(tagged))))
+    return resources.withColumn("content", F.to_json(whole))
 
 
 def write_xml(resources: DataFrame, type_: str, path: str) -> None:

@@ -1,4 +1,4 @@
-"""Changes as streams: a feed of new versions by transaction, and derived state kept up to date."""
+"""Changes as streams: a feed of committed transactions, and derived state kept up to date."""
 
 from __future__ import annotations
 
@@ -8,21 +8,45 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from cohortry.sources.store import VERSION
+from cohortry.sources.store import TRANSACTION, Conflict, Store
 
 
-def change_stream(spark: SparkSession, path: str, files_per_trigger: int | None = None) -> DataFrame:
-    """New versions of a store as they are committed. Back-pressure is a bound on the files of a batch."""
-    reader = spark.readStream.schema(VERSION)
+def transaction_stream(store: Store, files_per_trigger: int | None = None) -> DataFrame:
+    """Transactions of a store as they are committed. Back-pressure is a bound on the files, one a transaction, of a batch."""
+    reader = store.spark.readStream.schema(TRANSACTION)
     if files_per_trigger:
         reader = reader.option("maxFilesPerTrigger", files_per_trigger)
-    return reader.parquet(f"{path}/versions")
+    return reader.parquet(f"{store.path}/transactions")
 
 
-def subscribe(stream: DataFrame, handle: Callable[[DataFrame, int], None], checkpoint: str, type_: str | None = None, once: bool = True) -> StreamingQuery:
-    """Call `handle(changes, batch)` for each batch of changes of a type, in order of t and without loss."""
-    rows = stream if type_ is None else stream.where(F.col("type") == type_)
-    writer = rows.writeStream.option("checkpointLocation", checkpoint).foreachBatch(lambda df, n: handle(df.orderBy("t"), n))
+def subscribe(store: Store, handle: Callable[[DataFrame, int], None], checkpoint: str, type_: str | None = None, once: bool = True, files_per_trigger: int | None = None) -> StreamingQuery:
+    """Call `handle(changes, t)` for each successful transaction that changed a type, in order of t and without loss.
+
+    A call that fails, or a crash, repeats its batch: handlers have to take a transaction again."""
+
+    def batch(df: DataFrame, _: int) -> None:
+        for r in df.where("success").select("t").orderBy("t").collect():  # a bounded number of transactions
+            changes = store.changes(r["t"])
+            changes = changes if type_ is None else changes.where(F.col("type") == type_)
+            if not changes.isEmpty():
+                handle(changes, r["t"])
+
+    writer = transaction_stream(store, files_per_trigger).writeStream.option("checkpointLocation", checkpoint).foreachBatch(batch)
+    return (writer.trigger(availableNow=True) if once else writer).start()
+
+
+def kafka_subscribe(store: Store, log: DataFrame, checkpoint: str, once: bool = True) -> StreamingQuery:
+    """Apply a log of bundles (t, instant, commands) to a store, in order. A bundle that was applied already is left out:
+    the store's t says how far the log has been read. One that fails leaves its error behind and takes its t."""
+
+    def batch(df: DataFrame, _: int) -> None:
+        for r in df.where(F.col("t") > store.basis_t()).orderBy("t").toLocalIterator():
+            try:
+                store.apply_bundle(r["commands"], r["instant"])
+            except Conflict:
+                pass  # logged as a failed transaction
+
+    writer = log.writeStream.option("checkpointLocation", checkpoint).foreachBatch(batch)
     return (writer.trigger(availableNow=True) if once else writer).start()
 
 
@@ -34,11 +58,11 @@ def last_change_stream(stream: DataFrame, subject: str) -> DataFrame:
 def upsert_into(path: str, key: list[str], order: str) -> Callable[[DataFrame, int], None]:
     """A handler that keeps the newest row of each key in a Parquet table. Replays of a batch change nothing.
 
-    Every batch is a folder of its own, written in overwrite mode; readers take the newest row of each key."""
+    Every transaction is a folder of its own, written in overwrite mode; readers take the newest row of each key."""
 
-    def handle(df: DataFrame, batch: int) -> None:
+    def handle(df: DataFrame, t: int) -> None:
         newest = df.groupBy(*key).agg(F.max_by(F.struct(*df.columns), F.col(order)).alias("r")).select("r.*")
-        newest.write.mode("overwrite").parquet(f"{path}/batch={batch}")
+        newest.write.mode("overwrite").parquet(f"{path}/batch={t}")
 
     return handle
 

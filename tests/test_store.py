@@ -1,5 +1,6 @@
 """The version store: transactions, preconditions, integrity, time travel, purge; and streams of its changes."""
 
+import hashlib
 import json
 from datetime import datetime
 
@@ -8,6 +9,7 @@ from pyspark.sql import functions as F
 
 from cohortry.operators import snapshots
 from cohortry.sources import resources
+from cohortry.sources import store as store_module
 from cohortry.sources.store import Command, Conflict, Store
 from cohortry.streaming import changes
 
@@ -73,7 +75,7 @@ def test_conditional_create_and_delete(store):
     store.transact([Command("create", "Patient", "9", doc("Patient", "9", gender="male"), if_none_exist=F.lit(False))], at(3))
     with pytest.raises(Conflict, match="several"):
         store.transact([Command("create", "Patient", "8", doc("Patient", "8"), if_none_exist=male)], at(4))
-    store.transact([Command("delete", "Patient", where=F.col("id") == "9")], at(5))
+    store.transact([Command("delete", "Patient", where=F.col("id") == "9"), Command("delete", "Patient", where=F.lit(False))], at(5))
     assert ("Patient", "9") not in ids(store.as_of()) and ("Patient", "9") in ids(store.as_of(4))
 
 
@@ -108,22 +110,96 @@ def test_bundles_and_references(spark, tmp_path):
     assert json.loads(resources.summary(again.where("type = 'Patient'"), ["gender"]).first()["content"]).get("birthDate") is None
 
 
-def test_change_feed(spark, store, tmp_path):
+def test_change_feed(store, tmp_path):
     store.transact([put("Patient", "1"), put("Patient", "2")], at(2))
     seen = []
-    run = lambda: changes.subscribe(changes.change_stream(spark, store.path), lambda df, n: seen.extend((r["t"], r["id"]) for r in df.collect()), str(tmp_path / "ck"), "Patient").awaitTermination()
+    run = lambda: changes.subscribe(store, lambda df, t: seen.append((t, sorted(r["id"] for r in df.collect()))), str(tmp_path / "ck"), "Patient").awaitTermination()
     run()
-    assert sorted(seen) == [(1, "0"), (2, "1"), (2, "2")]
-    store.transact([put("Patient", "2", gender="male")], at(3))
+    assert seen == [(1, ["0"]), (2, ["1", "2"])]
+    store.transact([put("Observation", "x")], at(3))
+    store.transact([put("Patient", "2", gender="male")], at(4))
     run()
-    assert sorted(seen)[3:] == [(3, "2")]
+    assert seen[2:] == [(4, ["2"])]
+
+
+def test_crash_between_writes_leaves_nothing(store, tmp_path, monkeypatch):
+    with monkeypatch.context() as m:
+        m.setattr(Store, "_log", lambda *a: (_ for _ in ()).throw(RuntimeError("crash")))
+        with pytest.raises(RuntimeError):
+            store.transact([put("Patient", "7"), Command("delete-history", "Patient", "0")], at(2))
+    assert store.basis_t() == 1 and ("Patient", "7") not in ids(store.as_of())
+    assert store.transact([put("Patient", "8")], at(3)) == 2  # the t is used again
+    assert ("Patient", "7") not in ids(store.as_of()) and ids(store.changes(2)) == [("Patient", "8")]
+    seen = []
+    changes.subscribe(store, lambda df, t: seen.extend(ids(df)), str(tmp_path / "ck")).awaitTermination()
+    assert ("Patient", "7") not in seen and ("Patient", "8") in seen
+
+
+def test_keep_hold_and_versions(store):
+    content = doc("Patient", "0", gender="male")
+    same = hashlib.sha256(content.encode()).hexdigest()
+    assert store.transact([Command("keep", "Patient", "0", hash=same), Command("hold", "Patient", "0x")], at(2)) == 2
+    assert store.history("Patient", "0").count() == 1
+    for bad in (Command("keep", "Patient", "0", hash="x"), Command("keep", "Patient", "0", hash=same, if_match=9), Command("keep", "Patient", "none", hash=same)):
+        with pytest.raises(Conflict):
+            store.transact([bad], at(3))
+    store.transact([Command("put", "Patient", "0", doc("Patient", "0", gender="x"), if_match=(1, 99))], at(4))
+    store.transact([Command("delete", "Observation", "o")], at(5))
+    with pytest.raises(Conflict):  # it has versions, though deleted
+        store.transact([Command("put", "Observation", "o", doc("Observation", "o"), if_none_match="*")], at(6))
+    t = store.basis_t()
+    assert store.read("Observation", "o").count() == 0 and store.vread("Observation", "o", 1).first()["op"] == "put"
+    assert json.loads(store.read("Patient", "0").first()["content"])["gender"] == "x" and json.loads(store.read("Patient", "0", 1).first()["content"])["gender"] == "male"
+    assert store.sync(t).count() == 1
+    with pytest.raises(TimeoutError):
+        store.sync(t + 1, 0.3)
+
+
+def test_a_table_of_commands(spark, store):
+    rows = [("put", "Patient", str(i), doc("Patient", str(i), n=i)) for i in range(50)] + [("delete", "Observation", "o", None)]
+    assert store.apply(spark.createDataFrame(rows, "op string, type string, id string, content string"), at(2)) == 2
+    assert store.as_of().count() == 50 and store.read("Patient", "0").first()["num_changes"] == 2
+    store.apply(spark.createDataFrame(rows, "op string, type string, id string, content string"), at(3))
+    assert store.changes(3).isEmpty()  # nothing new
+    with pytest.raises(Conflict, match="Patient/3 is not at version 1"):
+        store.apply(spark.createDataFrame([("put", "Patient", "3", doc("Patient", "3"), [1])], "op string, type string, id string, content string, if_match array<long>"), at(4))
+
+
+def test_conditional_delete_of_several(store, monkeypatch):
+    store.transact([put("Patient", str(i), gender="x") for i in range(10, 14)], at(2))
+    x = F.get_json_object("content", "$.gender") == "x"
+    with pytest.raises(Conflict, match="several"):
+        store.transact([Command("delete", "Patient", where=x)], at(3))
+    monkeypatch.setattr(store_module, "MAX_DELETES", 3)
+    with pytest.raises(Conflict, match="more than 3"):
+        store.transact([Command("delete", "Patient", where=x, allow_multiple=True)], at(4))
+    monkeypatch.setattr(store_module, "MAX_DELETES", 4)
+    store.transact([Command("delete", "Patient", where=x, allow_multiple=True)], at(5))
+    assert ids(store.as_of()) == [("Observation", "o"), ("Patient", "0")]
+
+
+def test_a_damaged_store_is_not_empty(spark, tmp_path):
+    (tmp_path / "s" / "transactions").mkdir(parents=True)
+    (tmp_path / "s" / "transactions" / "part.parquet").write_text("no parquet")
+    with pytest.raises(Exception):  # noqa: B017
+        Store(spark, str(tmp_path / "s")).basis_t()
+
+
+def test_a_log_of_bundles_is_applied_once(spark, store, tmp_path):
+    entry = lambda *r: json.dumps({"entry": [{"resource": json.loads(doc(*x))} for x in r]})
+    log = [(1, at(1), entry(("Patient", "no"))), (2, at(2), entry(("Patient", "5"))), (3, at(3), entry(("Patient", "6"), ("Patient", "6"))), (4, at(4), entry(("Patient", "7")))]
+    spark.createDataFrame(log, "t long, instant timestamp, commands string").write.parquet(str(tmp_path / "log"))
+    for k in (1, 2):  # the second checkpoint is new: all is read again
+        stream = spark.readStream.schema("t long, instant timestamp, commands string").parquet(str(tmp_path / "log"))
+        changes.kafka_subscribe(store, stream, str(tmp_path / f"ck{k}")).awaitTermination()
+        assert store.basis_t() == 4 and [i for _, i in ids(store.as_of())] == ["o", "0", "5", "7"]
 
 
 def test_upsert_stream_survives_replay(spark, store, tmp_path):
     store.transact([put("Patient", "0", gender="female")], at(2))
     out = str(tmp_path / "state")
     handle = changes.upsert_into(out, ["type", "id"], "t")
-    changes.subscribe(changes.change_stream(spark, store.path), handle, str(tmp_path / "ck2")).awaitTermination()
-    handle(store.versions().where("t = 2").drop("purged_at"), 0 + 1)
+    changes.subscribe(store, handle, str(tmp_path / "ck2")).awaitTermination()
+    handle(store.changes(2), 2)
     got = {(r["type"], r["id"]): r["t"] for r in changes.current(spark, out, ["type", "id"], "t").collect()}
     assert got == {("Patient", "0"): 2, ("Observation", "o"): 1}
