@@ -5,7 +5,7 @@ import os
 import duckdb
 import pytest
 
-from cohortry.plans import catalogue
+from cohortry.plans import catalogue, surfaces  # noqa: F401
 
 FOLDER = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
@@ -44,5 +44,10 @@ def test_every_query_has_sql():
 def test_plans_push_filters_and_prune_columns(spark):
     plan = lambda n: catalogue.QUERIES[n](spark, FOLDER)._jdf.queryExecution().executedPlan().toString()
     p = plan("exists_code_value")
-    assert "PushedFilters: [IsNotNull(o_orderstatus)" in p and "o_orderdate" not in p and "LeftSemi" in p
+    assert "EqualTo(o_orderstatus,F)" in p and "GreaterThan" in p and "o_orderdate" not in p and p.count("orders.parquet") == 1
     assert plan("boolean_exists_one_pass").count("orders.parquet") == 1
+    for name, fact in (("chained_search", "lineitem"), ("unfiltered_reference_semi", "lineitem"), ("token_in_value_sets", "part"), ("with_semi_join", "customer")):
+        text = catalogue.QUERIES[name](spark, FOLDER)._jdf.queryExecution().optimizedPlan().toString()
+        assert text.count({"lineitem": "l_shipdate", "part": "p_retailprice", "customer": "c_name"}[fact]) <= 1, name
+    assert plan("chained_search").count("lineitem.parquet") == 1 == plan("unfiltered_reference_semi").count("lineitem.parquet")
+    assert "EqualTo(o_custkey,7)" in plan("reference_search")
