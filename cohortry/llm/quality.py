@@ -221,19 +221,19 @@ def judge(df: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col:
     labelled rows gets no extra rule, so only base_failed rejects there; a null stratum is a stratum of its own; null
     texts have no words and fail the base rule. Repeated rows are judged alike and calibrated on once; contradicting
     labels of an id count as not good. Columns with a new column's name are replaced; empty tables give no rows."""
-    kept = [c for c in df.columns if c.lower() not in {*COUNTS, *EXTRA, "base_failed", "kept", "__keys", "__stratum"} and c != text_col]
-    ready = df.select(*[F.col(f"`{c}`") for c in kept], F.coalesce(F.col(f"`{stratum_col}`").cast("string"), F.lit("\0null")).alias("__stratum"), F.col(f"`{text_col}`").alias("__text"))
-    ready = features(ready, "__text", [*kept, "__stratum"], "__keys")
-    ready = materialize(ready, "quality").withColumn("base_failed", base_failed())
+    kept = [c for c in df.columns if c.lower() not in {*COUNTS, *EXTRA, "base_failed", "kept", "__stratum"} and c != text_col]
+    stratum = F.coalesce(F.col(f"`{stratum_col}`").cast("string"), F.lit("\0null")).alias("__stratum")
     known = labels.groupBy(F.col(id_col).alias("__id")).agg((F.min("quality") == 1).alias("__good")).where(F.col("__good").isNotNull() & F.col("__id").isNotNull())
     known = known if allowed is None else known.where(allowed(F.col("__id")))
-    used = ready.where(~F.col("base_failed")).select(F.col(f"`{id_col}`").alias("__id"), "__stratum", "__keys", *COUNTS, *EXTRA).join(known, "__id")
+    # Labelled documents are measured first, on their own; then one pass over all documents judges them.
+    own = df.select(F.col(f"`{id_col}`").alias("__id"), stratum, F.col(f"`{text_col}`").alias("__text")).join(known, "__id")
+    used = features(own, "__text", ["__id", "__stratum", "__good"], "__keys").where(~base_failed())
     rest = ["__stratum", "__good", *COUNTS, *EXTRA]
-    used = materialize(used, "labelled")
-    used = independent(used, "__id", "__keys").groupBy("__id").agg(F.min(F.struct(*rest)).alias("r")).select("__id", *[F.col(f"r.{c}").alias(c) for c in rest])
+    used = independent(materialize(used, "labelled"), "__id", "__keys").groupBy("__id").agg(F.min(F.struct(*rest)).alias("r")).select("__id", *[F.col(f"r.{c}").alias(c) for c in rest])
     cuts = calibrate(materialize(used, "labelled"), F.col("__stratum"), F.col("__good"), F.pmod(F.xxhash64("__id"), F.lit(2)) == 1, risk, delta)
+    ready = features(df.select(*[F.col(f"`{c}`") for c in kept], stratum, F.col(f"`{text_col}`").alias("__text")), "__text", [*kept, "__stratum"])
     bad = by_stratum(F.col("__stratum"), {s: fails(c) for s, c in cuts.items()})
-    return ready.withColumn("kept", ~F.col("base_failed") & ~bad).drop("__stratum", "__keys", *EXTRA)
+    return ready.withColumn("base_failed", base_failed()).withColumn("kept", ~F.col("base_failed") & ~bad).drop("__stratum", *EXTRA)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
