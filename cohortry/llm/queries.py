@@ -51,6 +51,17 @@ def _secrets_sql() -> str:
 _CLOSURE = "r(id, c) AS (SELECT id, id FROM n UNION SELECT r.id, l.y FROM r JOIN l ON r.c = l.x), k AS (SELECT id, min(c) AS component_id FROM r GROUP BY id)"
 
 SQL: dict[str, str] = {
+    "op1_suffix_dedup": """
+    WITH d AS (SELECT doc_id, encode(coalesce(text, '')) AS b FROM documents),
+    w AS (SELECT doc_id, p, md5(b[p:p + 99]) AS h FROM (SELECT doc_id, b, unnest(range(1, octet_length(b) - 98)) AS p FROM d)),
+    f AS (SELECT h, min({'k': doc_id, 'p': p}) AS first FROM w GROUP BY h HAVING count(*) > 1),
+    r AS (SELECT doc_id, p, lag(p) OVER (PARTITION BY doc_id ORDER BY p) AS before FROM w JOIN f USING (h) WHERE {'k': doc_id, 'p': p} <> first),
+    s AS (SELECT doc_id, p, sum(CASE WHEN before IS NULL OR p > before + 100 THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY p ROWS UNBOUNDED PRECEDING) AS g FROM r),
+    g AS (SELECT doc_id, min(p) AS lo, max(p) + 99 AS hi FROM s GROUP BY doc_id, g),
+    a AS (SELECT doc_id, count(*) AS n, sum(hi - lo + 1) AS gone, list(lo ORDER BY lo) AS los, list(hi ORDER BY lo) AS his FROM g GROUP BY doc_id),
+    k AS (SELECT doc_id, b, n, gone, los, his FROM d LEFT JOIN a USING (doc_id)),
+    e AS (SELECT doc_id, b, n, gone, CASE WHEN n IS NULL THEN b ELSE list_reduce(list_transform(range(0, n + 1), lambda i: b[CASE WHEN i = 0 THEN 1 ELSE his[i] + 1 END:CASE WHEN i = n THEN octet_length(b) ELSE los[i + 1] - 1 END]), lambda x, y: x || y) END AS kept FROM k)
+    SELECT doc_id, octet_length(b) AS n_bytes, CAST(coalesce(gone, 0) AS BIGINT) AS n_removed, coalesce(n, 0) AS n_spans, sha256(kept) AS kept_sha256 FROM e""",
     "op3_secret_scan": _secrets_sql(),
     "op6_embedding_dedup": f"""
     WITH RECURSIVE v AS (SELECT vec_id AS id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings), n AS (SELECT id, e, sqrt(list_dot_product(e, e)) AS s FROM v),
