@@ -17,9 +17,9 @@ from pyspark.sql import types as T
 from cohortry.llm.bpe import PIECE, pieces
 from cohortry.llm.common import map_rows, materialize, partitions, table
 
-#: Parts into which the rows of one length are dealt for ranking. The table of their sizes has at most
-#: SALTS x width rows, however large the input.
-SALTS = 256
+#: Parts into which the rows of one length are dealt for ranking; whole sequences, the commonest length, are dealt into
+#: WHOLE for each shuffle partition. The table of their sizes has at most SALTS x width rows, and those of whole sequences.
+SALTS, WHOLE = 256, 2
 
 
 @lru_cache(maxsize=2)
@@ -124,7 +124,8 @@ def pack(df: DataFrame, path: str, *, width: int = 1024, end_id: int = 0, id_col
     interchangeable: each of them gets a place of its own. An empty table gives no pieces. Columns other than id and
     text are not read."""
     spark = df.sparkSession
-    salt = F.pmod(F.xxhash64(id_col, "start", "ids_crc32"), F.lit(SALTS)).cast("int")
+    salts = F.when(F.col("length") == width, F.lit(max(SALTS, WHOLE * partitions(spark)))).otherwise(F.lit(SALTS))
+    salt = F.pmod(F.xxhash64(id_col, "start", "ids_crc32"), salts).cast("int")
     parts = materialize(cut(df, path, width, end_id, id_col, text_col, keep_ids).withColumn("__salt", salt), "pack")
     sizes = parts.groupBy("length", "__salt").count().collect()  # at most width x SALTS rows
     histogram: dict[int, int] = defaultdict(int)
