@@ -66,10 +66,13 @@ class Measure:
                 rows = part if rows is None else rows.unionByName(part)
         # One pass over the populations for all stratifiers and the total.
         keys = {n: f"__k{k}" for k, n in enumerate(names)}
-        shown = rows.select("__population", *[_shown(F.col(f"`{n}`"), kinds[n]).alias(k) for n, k in keys.items()])
+        shown = rows.select("__population", *[_shown(F.col(f"`{n}`"), kinds[n]).alias(k) for n, k in keys.items()], F.lit(1).cast("long").alias("__n"))
+        # A population without members has a count, too: a row of no weight stands for each.
+        zero = shown.sparkSession.createDataFrame([(code,) for code in g.populations], "__population string")
+        shown = shown.unionByName(zero.select("__population", *[F.lit(None).cast("string").alias(k) for k in keys.values()], F.lit(0).cast("long").alias("__n")))
         sets = [[]] + [[keys[e] for e in _expressions(s)] for s in g.stratifiers]
         by = [["__population", *cols] for cols in dict.fromkeys(map(tuple, sets))]
-        counted = shown.groupingSets(by, "__population", *keys.values()).agg(F.count(F.lit(1)).alias("count"), F.grouping_id().alias("__gid"))
+        counted = shown.groupingSets(by, "__population", *keys.values()).agg(F.sum("__n").alias("count"), F.grouping_id().alias("__gid"))
         out = None
         for s, cols in zip([None, *g.stratifiers], sets, strict=True):
             gid = sum(1 << (len(keys) - 1 - k) for k, c in enumerate(keys.values()) if c not in cols)
@@ -79,10 +82,8 @@ class Measure:
             own = F.when(F.col("__gid") == gid, F.array(name)).otherwise(F.array().cast("array<struct<stratifier:string,stratum:string>>"))
             out = own if out is None else F.concat(out, own)  # stratifiers on the same expressions share a grouping set
         found = counted.select("__population", "count", F.explode(out).alias("s"))
-        found = found.select(F.lit(i).alias("group"), F.col("__population").alias("population"), "s.stratifier", "s.stratum", "count")
-        # A population without members has a count, too.
-        empty = shown.sparkSession.createDataFrame([(i, code) for code in g.populations], "group int, population string").join(found.where("stratifier is null").select("population"), "population", "left_anti")
-        return found.unionByName(empty.select("group", "population", F.lit(None).cast("string").alias("stratifier"), F.lit(None).cast("string").alias("stratum"), F.lit(0).cast("long").alias("count")))
+        found = found.where((F.col("count") > 0) | F.col("s.stratifier").isNull())
+        return found.select(F.lit(i).alias("group"), F.col("__population").alias("population"), "s.stratifier", "s.stratum", "count")
 
     def subjects(self, group: int, code: str) -> DataFrame:
         """(id) of the subjects of a population."""
