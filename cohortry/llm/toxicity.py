@@ -23,7 +23,8 @@ from pyspark.sql import types as T
 from cohortry.llm.common import bounded_sample, held_out, table, with_arrow_columns
 
 _WORD = re.compile(r"\w+")
-SEGMENT = 64
+#: Tokens of a chain, and chains handled at once, in training.
+SEGMENT, ROWS = 64, 2048
 
 
 @dataclass
@@ -190,7 +191,7 @@ def _segments(rows: list[tuple[list[str], int]], index: dict[str, int]) -> tuple
         for s in range(0, len(words), SEGMENT):
             rows_.append(f[s : s + SEGMENT])
             docs.append(d if y else -1)
-    x = np.full((len(rows_), SEGMENT + 1), -1, np.int64)
+    x = np.full((len(rows_), SEGMENT + 1), -1, np.int32)
     for i, (f, d) in enumerate(zip(rows_, docs, strict=True)):
         x[i, : len(f)], x[i, SEGMENT] = f, d
     x, times = np.unique(x, axis=0, return_counts=True)
@@ -230,25 +231,28 @@ def train(rows: list[tuple[str, int]], *, steps: int = 40, l2: float = 0.5, rate
     rows = sorted((t or "", int(y)) for t, y in rows)
     if len({y for _, y in rows}) < 2:
         return Model()
-    split = [(_WORD.findall(t.lower()), y) for t, y in rows]
+    pool: dict[str, str] = {}  # one object for each word
+    split = [([pool.setdefault(w, w) for w in _WORD.findall(t.lower())], y) for t, y in rows]
     telling = telling_features(split)
     index = {f: i + 1 for i, f in enumerate(telling)}
     x, doc, times, has, kinds = _segments(split, index)
     start = np.array([-5.0, *(min(4.0, v) for v in telling.values())])  # also the centre of the penalty
     w, trans = start.copy(), np.zeros((2, 2))
     if len(x) and len(index):
-        m = (x >= 0).astype(float)
-        toxic = doc >= 0
+        m = x >= 0
+        toxic, known, words = doc >= 0, x[m], m.sum(1)
         gw, gt = np.zeros_like(w), np.zeros_like(trans)
         for _ in range(steps):
-            p, pairs, none = _expected(np.where(m > 0, (has @ w)[x], 0.0), trans, m)
+            odds = has @ w
+            parts = [_expected(np.where(live, odds[k], 0.0), trans, live) for k, live in ((x[i : i + ROWS], m[i : i + ROWS]) for i in range(0, len(x), ROWS))]
+            p, pairs, none = (np.concatenate(v) for v in zip(*parts, strict=True))
             # What the labels leave open: nothing in clean documents, all but the tags that are all 0 in toxic ones.
             clear = np.exp(np.minimum(np.bincount(doc[toxic], weights=(none * times)[toxic], minlength=len(rows)), -1e-9))[doc] * toxic
             some = np.where(toxic, 1 / (1 - clear), 0.0)
             want = pairs * some[:, None, None]
-            want[:, 0, 0] = np.where(toxic, (pairs[:, 0, 0] - clear * (m.sum(1) - 1)) * some, m.sum(1) - 1)
-            v = (p * (some - 1)[:, None] * m) * times[:, None]
-            g = np.bincount(x[m > 0], weights=v[m > 0], minlength=len(has)) @ has - l2 * (w - start)
+            want[:, 0, 0] = np.where(toxic, (pairs[:, 0, 0] - clear * (words - 1)) * some, words - 1)
+            v = (p * ((some - 1) * times)[:, None])[m]
+            g = np.bincount(known, weights=v, minlength=len(has)) @ has - l2 * (w - start)
             h = ((want - pairs) * times[:, None, None]).sum(0) - l2 * trans
             gw += g * g
             gt += h * h
