@@ -6,6 +6,9 @@ which is UTC here; offsets are applied when text is read."""
 
 from __future__ import annotations
 
+import re
+from datetime import datetime, timedelta
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -56,7 +59,33 @@ def of(value, precision: str = "millisecond") -> Column:
     """From a date or timestamp column."""
     ts = lit(value).cast("timestamp_ntz")
     p = _level(precision)
-    return _make(F.date_trunc(_UNIT[p].lower(), ts).cast("timestamp_ntz") if p < 7 else ts, F.lit(p))
+    lo = F.date_trunc(_UNIT[p].lower(), ts).cast("timestamp_ntz") if p < 7 else ts
+    return F.when(lo.isNotNull(), F.struct(lo.alias("lo"), (_step(lo, p) if p < 7 else lo).alias("hi"), F.lit(p).alias("p")))
+
+
+def literal(text: str) -> Column:
+    """What parse() makes of a text that is known now: a small constant."""
+    m = re.fullmatch(_TEXT.replace("$", ""), text.strip(), re.A)
+    if not m:
+        return parse(text)
+    parts = m.groups()
+    p = sum(x is not None for x in parts[:7])
+    try:
+        y, mo, d, h, mi, s = (int(x) if x else least for x, least in zip(parts[:6], (0, 1, 1, 0, 0, 0), strict=True))
+        lo = datetime(y, mo, d, h, mi, s, int((parts[6] or "0").ljust(3, "0")) * 1000)
+        zone = parts[7]
+        if zone and zone != "Z":
+            lo -= (1 if zone[0] == "+" else -1) * timedelta(hours=int(zone[1:3]), minutes=int(zone[4:6]))
+        if p < 3:
+            after = datetime(y + (p == 1 or mo == 12), 1 if p == 1 or mo == 12 else mo + 1, 1) if y < 9999 or p == 2 and mo < 12 else None
+        else:
+            after = lo + {3: timedelta(days=1), 4: timedelta(hours=1), 5: timedelta(minutes=1), 6: timedelta(seconds=1), 7: timedelta(milliseconds=1)}[p]
+        if after is None:
+            raise OverflowError
+    except (ValueError, OverflowError):  # no date, or at the end of the calendar
+        return parse(text)
+    show = lambda t: F.lit(t.isoformat(" ", "milliseconds")).cast("timestamp_ntz")
+    return F.struct(show(lo).alias("lo"), show(after - timedelta(milliseconds=1)).alias("hi"), F.lit(p).alias("p"))
 
 
 def construct(*parts) -> Column:

@@ -81,6 +81,7 @@ class Compiler:
         self.keys: dict[str, tuple[Column, Column]] = {}  # by key: its column in the plan, and that of the rows
         self.joins: dict[str, list[Callable[[DataFrame], DataFrame]]] = {}  # by type: what adds a flag to its rows
         self.flags: list[Callable[[DataFrame], DataFrame]] = []  # what adds a flag to the plan
+        self.found: dict[tuple[str, int], tuple[str, Column] | None] = {}  # what _source() has found, by context and tree
         self.open: list[str] = []
 
     def _names(self) -> set[str]:
@@ -101,7 +102,7 @@ class Compiler:
 
     def _struct(self, type_: str) -> Column:
         t = self.model.types[type_]
-        own = [c.alias(n) for n, (c, _) in t.elements.items() if n in self.names]
+        own = [t.elements[n][0].alias(n) for n in t.elements if n in self.names]
         return F.struct(*own, *[c.alias(f"__to_{n}") for n, c in t.contexts.items() if n in self.names])
 
     def _flag(self, joins: list[Callable[[DataFrame], DataFrame]], key: Column, members: DataFrame, same: Callable[[Column], Column]) -> Column:
@@ -201,9 +202,9 @@ class Compiler:
             parts = {n: self._value(name, y, "") for n, y in x.items()}
             return V(F.struct(*[v.col.alias(n) for n, v in parts.items()]), "Tuple", {n: v.kind for n, v in parts.items()})
         if isinstance(x, str) and kind in TEMPORAL:
-            return V(temporal.parse(x), "Date")
+            return V(temporal.literal(x), "Date")
         if isinstance(x, datetime.date):
-            return V(temporal.parse(x.isoformat()), "Date")
+            return V(temporal.literal(x.isoformat()), "Date")
         if isinstance(x, Decimal) or kind == "Decimal" and isinstance(x, (int, float)) and not isinstance(x, bool):
             return V(F.lit(str(x)).cast("decimal(28,8)"), "Decimal")
         if not isinstance(x, (bool, int, float, str)):
@@ -237,7 +238,7 @@ class Compiler:
     def _date(self, e, env):
         if e[1].startswith("T"):
             return V(convert.to_time(F.lit(e[1])), "Time")
-        return V(temporal.parse(F.lit(e[1])), "Date")
+        return V(temporal.literal(e[1]), "Date")
 
     def _quantity(self, e, env):
         if e[2].rstrip("s") in temporal.PRECISION or e[2].rstrip("s") == "week":
@@ -332,8 +333,8 @@ class Compiler:
         lo, hi = self.expr(e[1], env), self.expr(e[2], env)
         kind = lo.kind if lo.kind != "Any" else hi.kind
         if kind == "Date":
-            low = F.coalesce(lo.col, temporal.parse(F.lit("0001-01-01"))) if lo.kind != "Any" else temporal.parse(F.lit("0001-01-01"))
-            high = F.coalesce(hi.col, temporal.parse(F.lit("9999-12-31T23:59:59.999"))) if hi.kind != "Any" else temporal.parse(F.lit("9999-12-31T23:59:59.999"))
+            low = F.coalesce(lo.col, temporal.literal("0001-01-01")) if lo.kind != "Any" else temporal.literal("0001-01-01")
+            high = F.coalesce(hi.col, temporal.literal("9999-12-31T23:59:59.999")) if hi.kind != "Any" else temporal.literal("9999-12-31T23:59:59.999")
             low = low if e[3] else temporal.successor(low)
             high = high if e[4] else temporal.predecessor(high)
             return V(F.struct(low.alias("low"), high.alias("high")), "Interval<Date>")
@@ -434,23 +435,36 @@ class Compiler:
     # Rows of one type that a condition on themselves, or on other rows of the same subject, selects.
 
     def _source(self, e: tuple) -> tuple[str, Column] | None:
-        """(type, condition) of a retrieve, or of a query over one that returns its rows."""
+        """(type, condition) of a retrieve, or of a query over one that returns its rows. Found once for each tree."""
         while e[0] == "paren":
             e = e[1]
         if e[0] == "retrieve":
-            _, type_, prop, codes, context = e
-            whole = self.context == "Unfiltered"
-            if type_ not in self.model.types or context is not None or not whole and (type_ == self.model.subject or self.model.types[type_].subject is None):
-                return None
-            return type_, self._code_test(type_, prop, codes, {})
-        if e[0] == "query" and e[5] is None:
-            return self._query_rows(e)
+            return self._once(e, self._retrieved)
+        return self._query_rows(e) if e[0] == "query" and e[5] is None else self._source_of(e)
+
+    def _once(self, e: tuple, find: Callable[[tuple], tuple[str, Column] | None]) -> tuple[str, Column] | None:
+        key = (self.context, id(e))
+        if key not in self.found:
+            self.found[key] = find(e)
+        return self.found[key]
+
+    def _retrieved(self, e: tuple) -> tuple[str, Column] | None:
+        _, type_, prop, codes, context = e
+        whole = self.context == "Unfiltered"
+        if type_ not in self.model.types or context is not None or not whole and (type_ == self.model.subject or self.model.types[type_].subject is None):
+            return None
+        return type_, self._code_test(type_, prop, codes, {})
+
+    def _source_of(self, e: tuple) -> tuple[str, Column] | None:
         if e[0] == "ref" and e[1] in self.lib.defines and self.lib.defines[e[1]][0] == self.context and e[1] not in self.open:
             return self._source(self.lib.defines[e[1]][1])
         return None
 
     def _query_rows(self, e: tuple) -> tuple[str, Column] | None:
         """Of a query, whatever it returns: `with` and `without` are semi- and anti-joins, as flags that share one scan."""
+        return self._once(e, self._queried)
+
+    def _queried(self, e: tuple) -> tuple[str, Column] | None:
         _, source, alias, relations, where, *_ = e
         base = self._source(source)
         if base is None:
@@ -470,7 +484,9 @@ class Compiler:
 
     def _relation_flag(self, type_: str, alias: str, other: tuple, name: str, cond: tuple) -> Column | None:
         t, before = self.model.types[type_], {k: len(v) for k, v in self.joins.items()}
+        known, self.found = self.found, {}  # its flags are its own
         found = self._source(other)
+        self.found = known
         if found is None or t.subject is None or self.model.types[found[0]].subject is None:
             return None
         kind, test = found
@@ -589,16 +605,15 @@ class Compiler:
             if by is None:
                 v = V(x, kind)
             else:
-                row = {n: V(x[n], k) for n, (_, k) in self.model.types[kind[4:]].elements.items() if n in self.names} if kind.startswith("Row:") else {}
+                elements = self.model.types[kind[4:]].elements if kind.startswith("Row:") else {}
+                row = {n: V(x[n], elements[n][1]) for n in elements if n in self.names}
                 v = self.expr(by, {**env, "$row": row})
             return v.col["lo"] if v.kind == "Date" else v.col["value"] if v.kind == "Quantity" else v.col
 
-        # Ties keep the order of the input: the position is the last sort key.
-        if not descending:
-            keyed = F.transform(items, lambda x, i: F.struct(key(x).alias("k"), i.alias("i"), x.alias("x")))
-            return F.transform(F.array_sort(keyed, lambda a, b: _order(a, b, False)), lambda s: s["x"])
-        keyed = F.transform(items, lambda x, i: F.struct(key(x).alias("k"), i.alias("i"), x.alias("x")))
-        return F.transform(F.array_sort(keyed, lambda a, b: _order(a, b, True)), lambda s: s["x"])
+        # Ties keep the order of the input: the position is the last sort key. Nulls come first, or last if descending.
+        kind_ = lambda i: -i if descending else i
+        keyed = F.transform(items, lambda x, i: F.struct(key(x).isNotNull().alias("known"), key(x).alias("k"), kind_(i).alias("i")))
+        return F.transform(F.sort_array(keyed, not descending), lambda s: F.get(items, F.abs(s["i"])))
 
     # Functions.
 
@@ -623,16 +638,16 @@ class Compiler:
         if m := re.fullmatch(r"(?:Calculate)?AgeIn(Year|Month|Week|Day|Hour|Minute|Second)s(At)?", name):
             args = list(args)
             birth = self.expr(args.pop(0), env).col if name.startswith("Calculate") else self._ref(("ref", self.model.subject), env).col["birthDate"]
-            at = self.expr(args[0], env).col if m[2] else temporal.parse(F.lit(self.now if m[1] in ("Hour", "Minute", "Second") else self.now[:10]))
+            at = self.expr(args[0], env).col if m[2] else temporal.literal(self.now if m[1] in ("Hour", "Minute", "Second") else self.now[:10])
             if m[1] == "Week":
                 return V(arithmetic.truncated_divide(temporal.duration_between(birth, at, "day"), F.lit(7)), "Integer")
             return V(temporal.duration_between(birth, at, m[1].lower()), "Integer")
         if name == "TimeOfDay":
             return V(convert.to_time(F.lit((self.now[11:] or "00:00:00")[:12])), "Time")
         if name == "Today":
-            return V(temporal.parse(F.lit(self.now[:10])), "Date")
+            return V(temporal.literal(self.now[:10]), "Date")
         if name == "Now":
-            return V(temporal.parse(F.lit(self.now)), "Date")
+            return V(temporal.literal(self.now), "Date")
         vals = [self.expr(a, env) for a in args]
         fn = _FUNCTIONS.get(name)
         if fn is None:
@@ -706,16 +721,6 @@ def _any(tests: list[Column]) -> Column:
     return out
 
 
-def _order(a: Column, b: Column, descending: bool) -> Column:
-    """Ascending: nulls first; descending: nulls last; ties by position."""
-    x, y = a["k"], b["k"]
-    up = F.when(x < y, F.lit(-1)).when(x > y, F.lit(1))
-    side = F.when(x.isNull() & y.isNotNull(), F.lit(-1)).when(x.isNotNull() & y.isNull(), F.lit(1))
-    c = F.coalesce(up, side, F.lit(0))
-    c = -c if descending else c
-    return F.when(c != 0, c).when(a["i"] < b["i"], F.lit(-1)).otherwise(F.lit(1))
-
-
 def _logic(fn):
     return lambda self, e, env: V(fn(self.expr(e[1], env).col.cast("boolean"), self.expr(e[2], env).col.cast("boolean")), "Boolean")
 

@@ -38,11 +38,11 @@ def _ref_id(ref: Column, kind: str) -> Column:
 def clinical(resources: DataFrame, value_sets: Callable[[str], DataFrame] | None = None, subject: str = "Patient", code_systems: Callable[[str], DataFrame] | None = None) -> Model:
     """From resources (type, id, content). subject: the type whose resources are the subjects, Patient or Specimen."""
     c = F.col
-    date = lambda n: (temporal.parse(c(n)), "Date")
-    period = lambda n: (convert.period_to_interval(c(n)), "Interval<Date>")
-    concept = lambda n: (_codes(c(n)), "Concept")
-    text = lambda n: (c(n), "String")
-    reference = lambda n: (F.struct(c(n)["reference"].alias("reference")), "Reference")
+    date = lambda n: lambda: (temporal.parse(c(n)), "Date")
+    period = lambda n: lambda: (convert.period_to_interval(c(n)), "Interval<Date>")
+    concept = lambda n: lambda: (_codes(c(n)), "Concept")
+    text = lambda n: lambda: (c(n), "String")
+    reference = lambda n: lambda: (F.struct(c(n)["reference"].alias("reference")), "Reference")
     of = {
         "Observation": {"Encounter": c("encounter"), "Specimen": c("specimen")},
         "Condition": {"Encounter": c("encounter")},
@@ -70,7 +70,7 @@ def clinical(resources: DataFrame, value_sets: Callable[[str], DataFrame] | None
         ),
         "Procedure": (
             patient,
-            {"id": text("id"), "status": text("status"), "code": concept("code"), "category": concept("category"), "performed": (F.coalesce(convert.period_to_interval(c("performedPeriod")), F.struct(temporal.parse(c("performedDateTime")).alias("low"), temporal.parse(c("performedDateTime")).alias("high"))), "Interval<Date>"), "encounter": reference("encounter")},
+            {"id": text("id"), "status": text("status"), "code": concept("code"), "category": concept("category"), "performed": lambda: (F.coalesce(convert.period_to_interval(c("performedPeriod")), F.struct(temporal.parse(c("performedDateTime")).alias("low"), temporal.parse(c("performedDateTime")).alias("high"))), "Interval<Date>"), "encounter": reference("encounter")},
             {"code": _codes(c("code")), "category": _codes(c("category"))},
         ),
         "Encounter": (
@@ -83,17 +83,19 @@ def clinical(resources: DataFrame, value_sets: Callable[[str], DataFrame] | None
         "MedicationStatement": (patient, {"id": text("id"), "status": text("status"), "medication": reference("medicationReference"), "effective": period("effectivePeriod")}, {"code": _codes(c("medicationCodeableConcept"))}),
         "MedicationAdministration": (patient, {"id": text("id"), "status": text("status"), "medication": reference("medicationReference"), "effective": date("effectiveDateTime")}, {"code": _codes(c("medicationCodeableConcept"))}),
     }
-    types = {}
-    for name, (own, elements, codes) in spec.items():
+
+    def made(name: str) -> Type:
+        own, elements, codes = spec[name]
         contexts = ({} if own is None else {"Patient": own}) | {k: _ref_id(ref, k) for k, ref in of.get(name, {}).items()}
-        types[name] = Type(typed(resources, name), contexts.get(subject), elements, codes, contexts)
-    return Model(types, subject, value_sets, code_systems)
+        return Type(typed(resources, name), contexts.get(subject), Lazy(elements), codes, contexts)
+
+    return Model(Lazy({name: lambda name=name: made(name) for name in spec}), subject, value_sets, code_systems)
 
 
 def relational(spark: SparkSession, sf_dir: str, subject: str = "Patient") -> Model:
     """Customers as patients, with orders and events; or orders as subjects, with line items. Parts belong to nobody."""
     c = F.col
-    day = lambda n: (temporal.of(c(n), "day"), "Date")
+    day = lambda n: lambda: (temporal.of(c(n), "day"), "Date")
     num = lambda n: (c(n).cast("decimal(28,8)"), "Decimal")
     code = lambda n: code_token(c(n))
     text = lambda n: (c(n), "String")
@@ -110,7 +112,7 @@ def relational(spark: SparkSession, sf_dir: str, subject: str = "Patient") -> Mo
         ),
         "Part": ("part", {}, {"id": (c("p_partkey"), "Integer"), "brand": text("p_brand"), "type": (c("p_type"), "String"), "size": (c("p_size").cast("long"), "Integer")}, {"code": code("p_brand"), "type": code("p_type")}),
     }
-    made = Lazy({name: lambda t=t, x=contexts, e=elements, k=codes: Type(table(spark, sf_dir, t), x.get(subject), e, k, x) for name, (t, contexts, elements, codes) in spec.items()})
+    made = Lazy({name: lambda t=t, x=contexts, e=elements, k=codes: Type(table(spark, sf_dir, t), x.get(subject), Lazy(e), k, x) for name, (t, contexts, elements, codes) in spec.items()})
     terms = lambda: terminology(spark, sf_dir)
     plain = lambda df: df.withColumn("system", F.when(F.col("system") != "part-type", F.col("system")))  # noqa: E731  codes in the tables have no system
     return Model(made, subject, lambda url: plain(terms().expand(url)), lambda url: plain(terms().concepts.where(F.col("system") == url)))

@@ -23,7 +23,8 @@ class Lazy(Mapping):
 
     def __getitem__(self, name: str) -> DataFrame:
         if name not in self.made:
-            self.made[name] = self.makers[name]()
+            maker = self.makers[name]
+            self.made[name] = maker() if callable(maker) else maker
         return self.made[name]
 
     def __iter__(self) -> Iterator[str]:

@@ -139,3 +139,9 @@ def test_conversions(value):
     null = F.lit(None).cast("string")
     assert value(convert.converts_to("2020-02", "Date"), convert.converts_to("2020-13", "Date"), convert.converts_to(null, "Date"), convert.converts_to("10:30", "Time"), convert.converts_to("1 'g'", "Quantity")) == [True, False, None, True, True]
     assert value(convert.to_ratio("1 'mg':2 'L'")["denominator"]["unit"], convert.to_ratio("1"), convert.to_decimal("1.5").cast("double")) == ["L", None, 1.5]
+
+
+@pytest.mark.parametrize("text", ["2020", "2020-02", "2020-12", "2020-02-29", "2020-02-30", "2020-01-31T23", "2020-01-31T23:59", "2020-01-31T23:59:59", "2020-01-31T23:59:59.5", "2020-03-01T00:30:00Z", "2020-03-01T00:30+02:00", "2019-12-31T23:30:00-01:30", "0001-01-01", "9999", "9999-12", "9999-12-31T23:59:59.999", "x", "20"])
+def test_literals_equal_parsed_texts(spark, text):
+    r = spark.range(1).select(temporal.literal(text).alias("a"), temporal.parse(F.lit(text)).alias("b")).first()
+    assert r["a"] == r["b"]
