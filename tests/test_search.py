@@ -145,3 +145,42 @@ def test_validation(spark, terms):
     assert all(r["ok"] == r["v"] for r in units.withColumn("v", valid_by_grammar("http://unitsofmeasure.org", F.col("c"))).collect())
     tags = spark.createDataFrame([("en-US", True), ("de", True), ("x", False)], "c string, ok boolean")
     assert all(r["ok"] == r["v"] for r in tags.withColumn("v", valid_by_grammar("urn:ietf:bcp:47", F.col("c"))).collect())
+
+
+def test_pages_show_one_time(spark):
+    def at(t):
+        t = 2 if t is None else t
+        rows = [(c,) for c in ("abcdef" if t == 1 else "abxcdef")]
+        return Registry({"P": spark.createDataFrame(rows, "id string")}, {"P": {}}, at=at, t=t)
+
+    first = search.search_page(at(1), "P", "__t=1&_count=2")
+    assert ids(first.matches) == ["a", "b"] and first.previous() is None
+    second = search.search_page(at(2), "P", first.next())  # the store has moved on
+    assert ids(second.matches) == ["c", "d"] and "__t=1" in second.next()
+    third = search.search_page(at(2), "P", second.next())
+    assert ids(third.matches) == ["e", "f"] and third.next() is None
+    assert ids(search.search_page(at(2), "P", third.previous()).matches) == ["c", "d"]
+    assert ids(search.search_page(at(2), "P", second.previous()).matches) == ["a", "b"]
+    assert "x" in ids(search.search_page(at(2), "P", "").matches)
+
+
+def test_escapes_and_texts(reg):
+    assert search.parse_query("code=a%5C,b,c%5C%5C")[0] == [("code", ["a\\,b", "c\\\\"])]
+    assert search.split_escaped("a\\|b|c", "|") == ["a\\|b", "c"] and search.unescape("a\\|b\\$") == "a|b$"
+    fields = {"P": {"id": lambda: F.col("id"), "name": lambda: F.col("name")}}
+    assert [tuple(r) for r in navigate.graphql(reg, '{ PList(code: "x|1") { key: id name } }', fields).collect()] == [("a", "O'Neil")]
+    for bad in ("{ PList { nothing } }", "{ QList { id } }", "mutation { x }"):
+        with pytest.raises(SearchError):
+            navigate.graphql(reg, bad, fields)
+    with pytest.raises(SearchError, match="identifiers"):
+        reg.search("O", [("who:identifier", ["x"])])
+
+
+def test_everything_is_refused_or_paged(reg, monkeypatch):
+    monkeypatch.setattr(navigate, "MAX_EVERYTHING", 2)
+    with pytest.raises(SearchError, match="more than 2"):
+        navigate.everything_page(reg, "a")
+    rows, following = navigate.everything_page(reg, "a", 2)
+    assert [tuple(r) for r in rows.collect()] == [("O", "1"), ("O", "2")] and following() == 2
+    rows, following = navigate.everything_page(reg, "a", 2, 2)
+    assert [tuple(r) for r in rows.collect()] == [("P", "a")] and following() is None
