@@ -29,7 +29,7 @@ from cohortry.llm.components import connected_components
 BANDS, ROWS = 40, 6
 BINS = BANDS * ROWS
 #: Bytes of full sets, and rows, that one task holds on either side of a comparison.
-BLOCK, BLOCK_ROWS = 16 << 20, 256
+BLOCK, BLOCK_ROWS = 16 << 20, 128
 #: Rows that meet one copy of a hub's set.
 FAN = 512
 _LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
