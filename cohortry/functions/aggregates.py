@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from cohortry.functions.arithmetic import log_double
 from cohortry.functions.logic import lit
 
 
@@ -30,7 +31,8 @@ def avg(x) -> Column:
 
 
 def geometric_mean(x) -> Column:
-    return F.exp(F.avg(F.ln(lit(x).cast("double"))))
+    """Zero if one value is, NaN if one is negative."""
+    return F.exp(F.avg(log_double(x)))
 
 
 def product(x) -> Column:

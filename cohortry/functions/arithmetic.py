@@ -110,6 +110,12 @@ def ln(a) -> Column:
     return _real(F.when(lit(a) > 0, F.ln(lit(a).cast("double"))))
 
 
+def log_double(a) -> Column:
+    """The logarithm as SQL has it: minus infinity for zero, NaN for negatives."""
+    a = lit(a).cast("double")
+    return F.when(a == 0, F.lit(float("-inf"))).when(a < 0, F.lit(float("nan"))).otherwise(F.ln(a))
+
+
 def log(a, base) -> Column:
     """Null for arguments that are not positive and for base 1."""
     a, b = lit(a).cast("double"), lit(base).cast("double")

@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from cohortry.functions.arithmetic import log_double
 from cohortry.functions.logic import lit
 
 
@@ -150,8 +151,8 @@ def avg(items: Column) -> Column:
 
 
 def geometric_mean(items: Column) -> Column:
-    clean = F.array_compact(items)
-    return F.when(F.size(clean) > 0, F.exp(avg(F.transform(clean, lambda x: F.ln(x.cast("double"))))))
+    """Zero if one element is, null if one is negative."""
+    return F.nullif(F.exp(avg(F.transform(F.array_compact(items), log_double))), F.lit(float("nan")))
 
 
 def min_(items: Column) -> Column:

@@ -897,7 +897,7 @@ _OVER_ROWS: dict[str, tuple[Callable[[Column], Column], str | None]] = {
     "Median": (aggregates.median, "Decimal"),
     "Mode": (aggregates.mode, None),
     "Product": (aggregates.product, "Decimal"),
-    "GeometricMean": (aggregates.geometric_mean, "Decimal"),
+    "GeometricMean": (lambda v: F.nullif(aggregates.geometric_mean(v), F.lit(float("nan"))), "Decimal"),
     "Variance": (aggregates.variance, "Decimal"),
     "StdDev": (aggregates.stddev, "Decimal"),
     "PopulationVariance": (aggregates.population_variance, "Decimal"),

@@ -5,7 +5,7 @@ from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from cohortry.functions import arithmetic, convert, intervals, lists, logic, quantity, strings, temporal
+from cohortry.functions import aggregates, arithmetic, convert, intervals, lists, logic, quantity, strings, temporal
 
 
 @pytest.fixture(scope="module")
@@ -145,3 +145,10 @@ def test_conversions(value):
 def test_literals_equal_parsed_texts(spark, text):
     r = spark.range(1).select(temporal.literal(text).alias("a"), temporal.parse(F.lit(text)).alias("b")).first()
     assert r["a"] == r["b"]
+
+
+def test_geometric_means_count_zeros_and_negatives(spark, value):
+    rows = spark.createDataFrame([("a", 0.0), ("a", 4.0), ("b", 2.0), ("b", 8.0), ("b", None), ("c", -1.0), ("c", 4.0), ("d", None)], "k string, v double")
+    got = dict(rows.groupBy("k").agg(aggregates.geometric_mean(F.col("v"))).collect())
+    assert got["a"] == 0 and got["b"] == pytest.approx(4) and got["c"] != got["c"] and got["d"] is None
+    assert value(*[lists.geometric_mean(arr(*xs)) for xs in ((0.0, 4.0), (-1.0, 4.0))], lists.geometric_mean(F.array().cast("array<double>"))) == [0, None, None]
