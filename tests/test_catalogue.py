@@ -51,3 +51,10 @@ def test_plans_push_filters_and_prune_columns(spark):
         assert text.count({"lineitem": "l_shipdate", "customer": "c_name"}[fact]) <= 1, name
     assert plan("chained_search").count("lineitem.parquet") == 1 == plan("unfiltered_reference_semi").count("lineitem.parquet")
     assert "EqualTo(o_custkey,7)" in plan("reference_search")
+
+
+def test_set_operators_shuffle_partial_results(spark):
+    """A value's rows all go to one task: each value is shuffled once a task, not once a row."""
+    lines = catalogue.QUERIES["relation_set_operators"](spark, FOLDER)._jdf.queryExecution().executedPlan().toString().splitlines()
+    exchanges = [i for i, line in enumerate(lines) if "Exchange" in line]
+    assert len(exchanges) == 2 and all("HashAggregate" in lines[i + 1] for i in exchanges) and not any("Join" in line for line in lines)
