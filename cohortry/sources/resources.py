@@ -111,9 +111,13 @@ def summary(resources: DataFrame, elements: list[str]) -> DataFrame:
     return resources.withColumn("content", F.to_json(whole))
 
 
+#: Resources of one XML file: one task reads a file, as XML cannot be split.
+XML_RESOURCES = 20_000
+
+
 def write_xml(resources: DataFrame, type_: str, path: str) -> None:
-    """Resources of one type as XML elements named after the type, in elements named Bundle."""
-    typed(resources, type_).write.format("xml").option("rowTag", type_).option("rootTag", "Bundle").save(path)
+    """Resources of one type as XML elements named after the type, in elements named Bundle, XML_RESOURCES at most to a file."""
+    typed(resources, type_).write.format("xml").option("rowTag", type_).option("rootTag", "Bundle").option("maxRecordsPerFile", XML_RESOURCES).save(path)
 
 
 def kafka_log(spark: SparkSession, servers: str, topic: str, start: str = "earliest") -> DataFrame:

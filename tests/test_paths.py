@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from cohortry.operators.fhirpath import PathError, path, truth
 from cohortry.operators.search import Param, Registry, SearchError, search_page
+from cohortry.sources import resources as resources_module
 from cohortry.sources.resources import typed
 from cohortry.sources.store import Store
 
@@ -94,3 +95,14 @@ def test_bundles_as_transactions_and_batches(spark, tmp_path):
     assert store.apply_bundle({"entry": [entry(o), entry(p)]}, datetime(2024, 1, 1)) == 1
     got = store.apply_batch({"entry": [entry({**p, "gender": "male"}, ifMatch='W/"9"'), entry({**p, "gender": "male"}, ifMatch='W/"1"'), {"request": {"method": "DELETE", "url": "Patient/7"}}]}, datetime(2024, 1, 2))
     assert "not at version" in got[0] and got[1] == 3 and "is referenced" in got[2]
+
+
+def test_xml_files_hold_a_bounded_number_of_resources(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(resources_module, "XML_RESOURCES", 3, raising=False)
+    rows = [("Patient", str(i), json.dumps({"resourceType": "Patient", "id": str(i), "gender": "male" if i % 2 else "female"})) for i in range(10)]
+    path = tmp_path / "x"
+    resources_module.write_xml(spark.createDataFrame(rows, "type string, id string, content string").coalesce(1), "Patient", str(path))
+    texts = [f.read_text() for f in path.glob("part-*")]
+    assert sorted(t.count("</Patient>") for t in texts) == [1, 3, 3, 3] and all("<Bundle>" in t for t in texts)
+    got = resources_module.read_xml(spark, str(path), "Patient")
+    assert sorted(tuple(r) for r in got.select("id", "gender").collect()) == [(i, "male" if i % 2 else "female") for i in range(10)]
