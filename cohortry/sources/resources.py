@@ -73,10 +73,10 @@ def typed(resources: DataFrame, type_: str, schema: str | None = None) -> DataFr
     return parsed.select("r.*")
 
 
-def references(resources: DataFrame) -> DataFrame:
-    """(type, id, ref_type, ref_id) of every literal reference in the contents."""
-    refs = resources.select("type", "id", F.explode(F.array_distinct(F.regexp_extract_all("content", F.lit(_REF), F.lit(1)))).alias("ref"))
-    return refs.select("type", "id", F.split_part("ref", F.lit("/"), F.lit(1)).alias("ref_type"), F.split_part("ref", F.lit("/"), F.lit(2)).alias("ref_id"))
+def references(resources: DataFrame, *more: str) -> DataFrame:
+    """(type, id, more columns, ref_type, ref_id) of every literal reference in the contents."""
+    refs = resources.select("type", "id", *more, F.explode(F.array_distinct(F.regexp_extract_all("content", F.lit(_REF), F.lit(1)))).alias("ref"))
+    return refs.select("type", "id", *more, F.split_part("ref", F.lit("/"), F.lit(1)).alias("ref_type"), F.split_part("ref", F.lit("/"), F.lit(2)).alias("ref_id"))
 
 
 def content_hash(content: Column) -> Column:

@@ -67,7 +67,9 @@ class Store:
         except AnalysisException as e:
             if e.getCondition() != "PATH_NOT_FOUND":  # anything else is no empty store
                 raise
-            return self.spark.createDataFrame([], schema)
+            # Empty to Catalyst too, so that a join with it is none: rows made in Python have no known size, and shuffle the other side.
+            none = [F.lit(None).cast(f.dataType).alias(f.name) for f in StructType.fromDDL(schema)]
+            return self.spark.range(1).select(*none).where(F.lit(False))
 
     def _committed(self, df: DataFrame, t: str) -> DataFrame:
         done = self.transactions().where("success").select(F.col("t").alias("__t"), F.col("attempt").alias("__a"))
@@ -147,7 +149,7 @@ class Store:
     def _verified(self, commands: DataFrame) -> DataFrame:
         """commands with `cur`, the newest version of their resource (deleted ones too), and the `reason` why they conflict.
 
-        Only versions of the commands' resources are aggregated."""
+        Only versions of the commands' resources are aggregated, without their contents."""
         keys = commands.select("type", "id")
         rows = snapshots.window(self.versions().join(keys, ["type", "id"], "left_semi"))
         state = rows.groupBy("type", "id").agg(F.max_by(F.struct("t", "op", "hash", "num_changes"), "t").alias("cur"))
@@ -184,6 +186,8 @@ class Store:
 
     def _run(self, commands: DataFrame, purges: list[Command], now: DataFrame, instant) -> int:
         t, attempt = self.basis_t() + 1, uuid.uuid4().hex
+        # Commands are evaluated once, and spread by what all checks join and group by.
+        commands = commands.repartition("type", "id").persist()
         checked = self._verified(commands).persist()
         try:
             twice = commands.groupBy("type", "id").count().where("count > 1").orderBy("type", "id").limit(1).collect()
@@ -192,6 +196,7 @@ class Store:
             bad = checked.where("reason is not null").orderBy("type", "id").select("reason").limit(1).collect()
             if bad:
                 raise Conflict(bad[0][0])
+            commands.unpersist()  # all of checked is there by now
             # A put of what is there already makes no version, and nothing is deleted twice.
             digest = F.when(F.col("op") != "delete", content_hash(F.col("content")))
             gone = (F.col("op") == "delete") & (F.col("alive") | F.col("cur").isNull())
@@ -201,7 +206,7 @@ class Store:
                 F.when(F.col("op") != "delete", F.col("content")).alias("content"), F.lit(attempt).alias("attempt"), "type",
             )
             if self.check_references:
-                self._check(now, fresh)
+                self._check(fresh)
             marks = [self._purge(c, t, now, attempt) for c in purges]
             fresh.write.mode("append").partitionBy("type").parquet(f"{self.path}/versions")
             for m in marks:
@@ -210,6 +215,7 @@ class Store:
             self._log(t, instant, False, str(e), attempt)
             raise
         finally:
+            commands.unpersist()
             checked.unpersist()
         self._log(t, instant, True, None, attempt)
         return t
@@ -244,17 +250,28 @@ class Store:
                 out.append(str(x))
         return out
 
-    def _check(self, now: DataFrame, fresh: DataFrame) -> None:
-        gone = fresh.where("op = 'delete'").select("type", "id")
-        kept = now.join(fresh.select("type", "id"), ["type", "id"], "left_anti")
-        present = kept.select("type", "id").union(fresh.where("op <> 'delete'").select("type", "id"))
-        missing = snapshots.dangling_references(references(fresh.where("op <> 'delete'")), present).limit(1).collect()
-        if missing:
-            raise Conflict(f"referential integrity: {missing[0]['ref_type']}/{missing[0]['ref_id']} does not exist")
-        refs = references(kept)
-        held = refs.join(gone.withColumnsRenamed({"type": "ref_type", "id": "ref_id"}), ["ref_type", "ref_id"], "left_semi").limit(1).collect()
-        if held:
-            raise Conflict(f"referential integrity: {held[0]['ref_type']}/{held[0]['ref_id']} is referenced")
+    def _check(self, fresh: DataFrame) -> None:
+        """Referential integrity once fresh versions are written. What no reference asks for is neither read nor joined,
+        and references are taken from contents where they are read: contents are not shuffled."""
+        versions = snapshots.window(self.versions())
+        new, made, gone = fresh.select("type", "id"), fresh.where("op <> 'delete'"), fresh.where("op = 'delete'").select("type", "id")
+        refs = references(made).select("ref_type", "ref_id").distinct()
+        if not refs.isEmpty():
+            targets = refs.withColumnsRenamed({"ref_type": "type", "ref_id": "id"})
+            kept = snapshots.snapshot(versions.select("type", "id", "t", "op").join(targets, ["type", "id"], "left_semi")).join(new, ["type", "id"], "left_anti")
+            missing = snapshots.dangling_references(refs, kept.select("type", "id").union(made.select("type", "id"))).limit(1).collect()
+            if missing:
+                raise Conflict(f"referential integrity: {missing[0]['ref_type']}/{missing[0]['ref_id']} does not exist")
+        if gone.isEmpty():
+            return
+        # Versions that refer to what goes; they count if they are the newest of a resource that stays as it is.
+        held = references(versions.where("op <> 'delete'"), "t").join(gone.withColumnsRenamed({"type": "ref_type", "id": "ref_id"}), ["ref_type", "ref_id"], "left_semi").join(new, ["type", "id"], "left_anti")
+        if held.isEmpty():
+            return
+        newest = versions.join(held.select("type", "id"), ["type", "id"], "left_semi").groupBy("type", "id").agg(F.max("t").alias("t"))
+        first = held.join(newest, ["type", "id", "t"], "left_semi").limit(1).collect()
+        if first:
+            raise Conflict(f"referential integrity: {first[0]['ref_type']}/{first[0]['ref_id']} is referenced")
 
     def _purge(self, c: Command, t: int, now: DataFrame, attempt: str) -> DataFrame:
         """Marks: older versions of a resource (delete-history), or all versions of a patient's compartment."""

@@ -203,3 +203,30 @@ def test_upsert_stream_survives_replay(spark, store, tmp_path):
     handle(store.changes(2), 2)
     got = {(r["type"], r["id"]): r["t"] for r in changes.current(spark, out, ["type", "id"], "t").collect()}
     assert got == {("Patient", "0"): 2, ("Observation", "o"): 1}
+
+
+def test_commands_are_evaluated_once(spark, tmp_path):
+    store, seen = Store(spark, str(tmp_path / "s")), spark.sparkContext.accumulator(0)
+
+    @F.udf("string")
+    def key(n):
+        seen.add(1)
+        return str(n)
+
+    rows = spark.range(20).select(F.lit("put").alias("op"), F.lit("Patient").alias("type"), key("id").alias("id"), F.lit("{}").alias("content"))
+    assert [store.apply(rows, at(n)) for n in (1, 2)] == [1, 2] and seen.value == 40
+    assert store.history().count() == 20
+
+
+def test_what_no_query_asks_for_is_not_joined_or_read(store):
+    assert "LeftOuter" not in store.versions()._jdf.queryExecution().optimizedPlan().toString()  # nothing was purged
+
+
+def test_references_of_older_versions_and_of_what_goes_too_hold_nothing(store):
+    store.transact([put("Observation", "p", subject={"reference": "Patient/0"}), put("Observation", "o")], at(2))
+    with pytest.raises(Conflict, match="Patient/0 is referenced"):
+        store.transact([Command("delete", "Patient", "0")], at(3))
+    store.transact([Command("delete", "Patient", "0"), Command("delete", "Observation", "p")], at(4))
+    with pytest.raises(Conflict, match="Patient/0 does not exist"):
+        store.transact([put("Observation", "q", subject={"reference": "Patient/0"})], at(5))
+    assert ids(store.as_of()) == [("Observation", "o")]
