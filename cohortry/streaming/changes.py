@@ -68,9 +68,10 @@ def upsert_into(path: str, key: list[str], order: str) -> Callable[[DataFrame, i
 
 
 def current(spark: SparkSession, path: str, key: list[str], order: str) -> DataFrame:
-    """What upsert_into() keeps."""
+    """What upsert_into() keeps. Columns that a query does not ask for are not read: each has an aggregate of its own."""
     rows = spark.read.parquet(path).drop("batch")
-    return rows.groupBy(*key).agg(F.max_by(F.struct(*rows.columns), F.col(order)).alias("r")).select("r.*")
+    newest = rows.groupBy(*key).agg(*[F.max_by(c, order).alias(c) for c in rows.columns if c not in key])
+    return newest.select(*rows.columns)
 
 
 def windowed_counts(events: DataFrame, every: str = "1 hour", late: str = "10 minutes", ts: str = "ts", code: str = "event_type") -> DataFrame:

@@ -218,8 +218,13 @@ def test_commands_are_evaluated_once(spark, tmp_path):
     assert store.history().count() == 20
 
 
-def test_what_no_query_asks_for_is_not_joined_or_read(store):
+def test_what_no_query_asks_for_is_not_joined_or_read(spark, store, tmp_path):
     assert "LeftOuter" not in store.versions()._jdf.queryExecution().optimizedPlan().toString()  # nothing was purged
+    out = str(tmp_path / "state")
+    changes.subscribe(store, changes.upsert_into(out, ["type", "id"], "t"), str(tmp_path / "ck")).awaitTermination()
+    now = changes.current(spark, out, ["type", "id"], "t")
+    assert sorted(now.columns) == sorted(store.versions().columns) and now.where("id = 'o'").first()["content"] is not None
+    assert "content" not in now.select("id", "t")._jdf.queryExecution().executedPlan().toString()
 
 
 def test_references_of_older_versions_and_of_what_goes_too_hold_nothing(store):
